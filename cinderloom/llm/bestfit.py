@@ -52,6 +52,9 @@ class OpenBins:
     def put(self, length: int) -> tuple[int, int]:
         """The bin and the offset in it that an item of 1 to capacity gets."""
         fits = self.bits >> length
+        if length == self.capacity:  # it never is open
+            self.opened += 1
+            return self.opened - 1, 0
         if fits:
             free = length + (fits & -fits).bit_length() - 1
             name = self._take(free)
