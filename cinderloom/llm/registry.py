@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderloom.llm import bestfit, bpe, mpeg_audio
+from cinderloom.llm import bestfit, bpe, mpeg_audio, quality, toxicity
 from cinderloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.sampled(docs, model) if model else docs.select("doc_id", F.lit(0.0).alias("log_ratio"), F.lit(0.0).alias("gumbel_key"))
+
+
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.probe(mpeg_audio.store(table(spark, sf_dir, "documents"))).select(
         "doc_id",
@@ -40,12 +46,29 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: Column) -> Column:
+    """The rows whose labels toxicity may not learn from."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
+
+
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn_from=~held_out(F.col("doc_id")))
+    return toxicity.scores(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("segments").alias("n_segments"),
+    )
+
+
 def op10_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op6_mpeg_audio, op10_bounded_best_fit)}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_quality_resampling, op6_mpeg_audio, op9_toxic_segments, op10_bounded_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,19 @@ from functools import lru_cache
 CACHE = 400_000
 # Python splits on these too, but they are no white space to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Letters on which the two libraries' Unicode tables can't differ.
+LETTERS = frozenset(c for c in map(chr, range(0x180)) if c.isalpha() and len(c.lower()) == 1)
+
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
 
 
 class _Chunks(dict):
@@ -22,13 +35,19 @@ class _Chunks(dict):
 
     def __init__(self, library):
         super().__init__()
-        self.encode = library.encode
+        self.encode, self.merge = library.encode, library.model.tokenize
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+            # Letters and a closing mark are tokens apart, and case is dropped: the plain word serves its other forms.
+            if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2] in LETTERS:
+                ids = self[chunk[:-1]] + self[chunk[-1]]
+            elif LETTERS.issuperset(chunk):
+                ids = array("I", [t.id for t in self.merge(chunk.lower().encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            else:
+                ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
