@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderloom.llm import bestfit, bpe, mpeg_audio, quality, toxicity
+from cinderloom.llm import bestfit, bpe, maxscore, mpeg_audio, quality, toxicity
 from cinderloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +46,28 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP7_SQL = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows whose labels toxicity may not learn from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
@@ -68,8 +90,8 @@ def op10_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op5_quality_resampling, op6_mpeg_audio, op9_toxic_segments, op10_bounded_best_fit)}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op9_toxic_segments, op10_bounded_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_maxscore": OP7_SQL}
