@@ -77,3 +77,35 @@ def drop(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/cinderloom-" in f}:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups, with the groups' starts and the end, of batches sorted by their first ``keys`` columns."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table, last: bool):
+        columns = [table.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new).tolist()
+        if last:
+            return table, [*starts, table.num_rows], None
+        return table.slice(0, starts[-1]), starts, table.slice(starts[-1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        # A group that fills several batches is joined once, when another key follows.
+        if all(batch.column(i)[-1] == held[0].column(i)[0] for i in range(keys)):
+            continue
+        done, starts, rest = cut(pa.Table.from_batches(held), False)
+        held = rest.to_batches()
+        if done.num_rows:
+            yield done, starts
+    if held:
+        yield cut(pa.Table.from_batches(held), True)[:2]

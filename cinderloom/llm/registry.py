@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderloom.llm import bestfit, bpe, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
+from cinderloom.llm import bestfit, bpe, jaccard_join, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
 from cinderloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -76,6 +76,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows whose labels toxicity may not learn from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
@@ -98,7 +102,7 @@ def op10_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op9_toxic_segments, op10_bounded_best_fit)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
