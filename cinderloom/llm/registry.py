@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderloom.llm import bestfit, bpe, jaccard_join, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
+from cinderloom.llm import bestfit, bpe, jaccard_join, line_dedup, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
 from cinderloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.concat_ws(",", "removed").alias("removed_lines"))
+
+
 def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -102,7 +107,7 @@ def op10_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_fuzzy_lines, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
