@@ -138,7 +138,7 @@ def decision_id(run: Column, cycle: Column, number: Column, letter: str = "d") -
 
 def option_values(text: Column) -> Column:
     """Comma-separated options, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def looked_up(key: Column, table: dict[str, Any], default: Column | Any = None) -> Column:
