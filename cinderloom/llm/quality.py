@@ -37,7 +37,7 @@ OFFSETS = np.cumsum((0, *BUCKETS))
 TOTAL = int(OFFSETS[-1])
 #: Labelled documents to fit on, at most.
 SAMPLE = 40_000
-#: Pseudo-counts of each bucket.
+#: Pseudo-counts of the target's buckets, on average; they follow the raw model.
 PRIOR = 1.0
 WORDS_KEPT = 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -133,8 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     raw = _counts(pick(docs, text="text"))
     weights = np.zeros(TOTAL)
     for lo, hi in zip(OFFSETS, OFFSETS[1:]):
-        p, q = target[lo:hi] + PRIOR, raw[lo:hi] + PRIOR
-        weights[lo:hi] = np.log(p / p.sum()) - np.log(q / q.sum())
+        q = raw[lo:hi] + 1e-3
+        q /= q.sum()
+        mass = PRIOR * (hi - lo)  # the target is smoothed towards the raw model: without evidence the ratio is 1
+        weights[lo:hi] = np.log((target[lo:hi] + mass * q) / (target[lo:hi].sum() + mass)) - np.log(q)
     model = Model(weights.astype(np.float32), 0.0)
 
     def run(batches):
