@@ -373,7 +373,8 @@ def test_line_dedup_equals_brute_force(spark):
     rng.shuffle(lines)
     texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)] + ["", None, "\n \n", "lone line"]
     docs = documents(spark, texts)
-    named = line_dedup.lines(docs).select(F.array_join("words", " ").alias("text"), F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)).alias("hashes")).distinct()
+    split = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    named = split.select(line_dedup.normalised(F.col("line")).alias("text"), F.array_distinct(line_dedup.word_hashes(F.col("line"))).alias("hashes")).where("text <> ''").distinct()
     sums = line_dedup.word_sums(named.withColumn("n", F.size("hashes")), ["text"])
     hashes = {r.text: r.simhash for r in line_dedup.simhashes(sums, ["text"]).collect()}
     for r in named.collect():
