@@ -140,7 +140,7 @@ def grid(**axes: DataFrame) -> DataFrame:
     """Every combination of the axes' values; each axis is a short list of distinct settings."""
     out = None
     for df in axes.values():
-        out = df if out is None else out.crossJoin(F.broadcast(df))
+        out = df if out is None else out.crossJoin(df)
     return out
 
 

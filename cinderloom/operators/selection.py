@@ -46,7 +46,7 @@ def stratified_sample(rows: DataFrame, label: str, size: int, *order: Column | s
     extra = F.row_number().over(every.orderBy(F.desc(F.col("_q") - F.col("_base")), label)) <= left
     quota = quota.select(label, (F.col("_base") + extra.cast("int")).alias("_take"))
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    return ranked.join(F.broadcast(quota), label).where("_n <= _take").drop("_n", "_take")
+    return ranked.join(quota, label).where("_n <= _take").drop("_n", "_take")
 
 
 def shard(rows: DataFrame, position: str, index: int, count: int) -> DataFrame:
