@@ -24,7 +24,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
 
-from cinderloom.llm.common import map_arrow, pick, slices
+from cinderloom.llm.common import cache_of, claim, map_arrow, pick, slices
 
 #: Characters whose codepoints are processed in one go.
 CHUNK = 1_000_000
@@ -171,6 +171,9 @@ class Vocabulary:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Join the adjacent pair of lowest rank, leftmost first, until no pair has a rank."""
         ranks = self.ranks
@@ -243,9 +246,16 @@ class Vocabulary:
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> Vocabulary:
+def _vocabulary(path: str) -> Vocabulary:
     with open(path, "rb") as lines:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+        out = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+    cache_of("bpe", out.forget)
+    return out
+
+
+def vocabulary(path: str) -> Vocabulary:
+    claim("bpe")
+    return _vocabulary(path)
 
 
 def encode_texts(texts: list[str], vocab: Vocabulary) -> Iterator[np.ndarray]:

@@ -33,6 +33,21 @@ def pick(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache_of(name: str, clear: Callable[[], None]) -> None:
+    """Register how a worker empties an operator's cache."""
+    _caches[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called where a task starts: a reused worker keeps the cache of this operator only."""
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes add up to about the limit; a larger item stands alone."""
     start, total = 0, 0

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderloom.llm.common import drop, map_arrow, pick, small_batches, whole_groups, written
+from cinderloom.llm.common import cache_of, claim, drop, map_arrow, pick, small_batches, whole_groups, written
 from cinderloom.llm.components import connected_components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -42,7 +42,7 @@ SKETCH = 64
 #: Agreeing minhashes that a pair needs: four standard errors below the threshold.
 AGREE = math.floor(SKETCH * (THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)))
 WORD = re.compile(r"\w+")
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 
 def runs_for(recall: float, depth: int = DEPTH) -> int:
@@ -65,6 +65,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+cache_of("jaccard", _hashes.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,6 +139,7 @@ def signatures(docs: DataFrame, runs: int = RUNS) -> DataFrame:
         return x.view(np.int64)
 
     def run(batches):
+        claim("jaccard")
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
@@ -245,6 +247,7 @@ def _taking_part(members: DataFrame) -> DataFrame:
     """leaf, i, j, k1 of members with a pair to verify there."""
 
     def run(batches):
+        claim("jaccard")
         for table, starts in whole_groups(batches, 3):
             m = _Members(table)
             used = np.zeros(table.num_rows, bool)
@@ -300,6 +303,7 @@ def _verified(members: DataFrame) -> DataFrame:
     """a, b, links: link counts of classes (b null; in documents), and edges of a spanning forest (links 0)."""
 
     def run(batches):
+        claim("jaccard")
         for table, _ in whole_groups(batches, 3):
             table, starts = _once(table)
             m = _Members(table)

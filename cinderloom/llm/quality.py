@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderloom.llm.common import drop, map_arrow, pick, small_batches, written
+from cinderloom.llm.common import cache_of, claim, drop, map_arrow, pick, small_batches, written
 
 #: Buckets of words, word pairs, shape pairs and shape triples.
 BUCKETS = (1 << 15, 1 << 16, 1 << 12, 1 << 14)
@@ -39,7 +39,7 @@ TOTAL = int(OFFSETS[-1])
 SAMPLE = 40_000
 #: Pseudo-counts of the target's buckets, on average; they follow the raw model.
 PRIOR = 1.0
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,6 +59,7 @@ class _Words(dict):
 
 
 _words = _Words()
+cache_of("quality", _words.clear)
 
 
 def _hash(x: np.ndarray, kind: int) -> np.ndarray:
@@ -104,6 +105,7 @@ def _counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of each bucket, over all rows."""
 
     def run(batches):
+        claim("quality")
         total = np.zeros(TOTAL, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -140,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     model = Model(weights.astype(np.float32), 0.0)
 
     def run(batches):
+        claim("quality")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.importance(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["label", "importance"])
 
@@ -168,6 +171,7 @@ def scores(docs: DataFrame, model: Model, seed: int = 7) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        claim("quality")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             ratio = [model.importance(t) for t in texts]
@@ -221,6 +225,7 @@ def select_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     where_id, where_text = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
+        claim("quality")
         for batch in batches:
             ids, texts = batch.column(where_id).to_pylist(), [t or "" for t in batch.column(where_text).to_pylist()]
             yield batch.filter(pa.array([model.importance(t) + gumbel(i, t, seed) >= least for i, t in zip(ids, texts)], pa.bool_()))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderloom.llm.common import map_arrow, pick, small_batches
+from cinderloom.llm.common import claim, map_arrow, pick, small_batches
 from cinderloom.llm.quality import bounded_labels
 
 SAMPLE = 40_000
@@ -45,7 +45,7 @@ SEEN = 4
 PRIOR, FLAT, ERRORS, DRIFT = 0.001, 0.5, 2.0, 0.75
 #: Expected number of such segments in other text, below which a segment is significant.
 E_VALUE = 0.05
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 WORD = re.compile(r"\w+")
 
 
@@ -141,6 +141,7 @@ def _token_counts(sample: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        claim("toxicity")
         count: dict[str, list[int]] = {}
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -216,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     model.lam = min(max(low, 0.05), 5.0)
 
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             found = [model.segments(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([[x for _, _, x in f] for _, f in found], pa.list_(pa.float64()))], ["label", "n", "found"])
@@ -252,6 +254,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
         return [{"first_token": a, "last_token": b, "first_char": at[a][0], "end_char": at[b][1], "score": s, "e_value": math.exp(-e)} for a, b, s, e in told]
 
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = [model.segments(t) if model else (0, []) for t in texts]
@@ -275,6 +278,7 @@ def clean_documents(docs: DataFrame, model: Model | None, limit: float = 0.3) ->
     where = docs.columns.index("text")
 
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             keep = [model.probability(*model.segments(t or "")) < limit for t in batch.column(where).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -11,8 +11,10 @@ import os
 from array import array
 from functools import lru_cache
 
+from cinderloom.llm.common import cache_of, claim
+
 #: Distinct chunks kept by a worker; two generations are alive at most.
-CACHE = 400_000
+CACHE = 250_000
 # Python splits on these too, but they are no white space to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Letters on which the two libraries' Unicode tables can't differ.
@@ -61,6 +63,9 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.cache = _Chunks(self.library)
 
+    def forget(self) -> None:
+        self.cache = _Chunks(self.library)
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
         if any(c in text for c in SEPARATORS):
@@ -72,5 +77,12 @@ class ChunkEncoder:
 
 
 @lru_cache(2)
+def _encoder(path: str) -> ChunkEncoder:
+    out = ChunkEncoder(path)
+    cache_of("words", out.forget)
+    return out
+
+
 def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    claim("words")
+    return _encoder(path)
