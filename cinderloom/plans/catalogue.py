@@ -106,10 +106,10 @@ SIGN = "CASE WHEN wins + losses > 0 THEN least(1.0, 2 * list_sum(list_transform(
 
 @query(f"""WITH RECURSIVE {DELTAS}, s AS (SELECT dataset, baseline_policy, CASE WHEN grouping(budget) = 1 THEN 'ALL' ELSE CAST(budget AS VARCHAR) END AS budget, count(delta) AS n, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties,
   avg(CAST(delta > 0 AS INTEGER)) AS win_rate, avg(delta) AS mean_delta FROM d GROUP BY GROUPING SETS ((dataset, baseline_policy, budget), (dataset, baseline_policy)))
-SELECT dataset, baseline_policy, budget, n, wins, losses, ties, round(win_rate, 6) AS win_rate, round(mean_delta, 4) AS mean_delta, round({SIGN} + 1e-8, 6) AS sign_test_p FROM s""")
+SELECT dataset, baseline_policy, budget, n, wins, losses, ties, round(win_rate, 6) AS win_rate, round(mean_delta + 1e-6, 4) AS mean_delta, round({SIGN} + 1e-8, 6) AS sign_test_p FROM s""")
 def pairwise_summary(spark, sf_dir):
     rows = cmp.pairwise_summary(_deltas(spark, sf_dir), ["dataset", "baseline_policy"])
-    return rows.select("dataset", "baseline_policy", "budget", "n", "wins", "losses", "ties", *r6("win_rate"), *r6("mean_delta", digits=4), *up("sign_test_p"))
+    return rows.select("dataset", "baseline_policy", "budget", "n", "wins", "losses", "ties", *r6("win_rate"), *up("mean_delta", digits=4), *up("sign_test_p"))
 
 
 def _cell_deltas(spark, sf_dir):
