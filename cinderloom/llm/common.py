@@ -82,7 +82,7 @@ def written(df: DataFrame) -> DataFrame:
     outlives lost executors. ``drop`` removes it.
     """
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
