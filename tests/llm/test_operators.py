@@ -359,27 +359,11 @@ def edit(a, b):
     return row[-1]
 
 
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(11)
-    vocabulary = [f"word{i}" for i in range(400)]
-    base = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 40))) for _ in range(40)] + [" ".join(rng.choices(vocabulary, k=300))]
-    lines = list(base)
-    for b in base:
-        for _ in range(4):
-            t = b.split()
-            t[rng.randrange(len(t))] = rng.choice(vocabulary)
-            lines.append(" ".join(t))
-        lines.append(b.upper() + "  ")
-    rng.shuffle(lines)
-    texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)] + ["", None, "\n \n", "lone line"]
-    docs = documents(spark, texts)
+def brute_removed(docs, texts):
+    """The line numbers that line dedup removes from each text, by comparing all lines with each other; texts by id in order."""
     split = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    named = split.select(line_dedup.normalised(F.col("line")).alias("text"), F.array_distinct(line_dedup.word_hashes(F.col("line"))).alias("hashes")).where("text <> ''").distinct()
-    sums = line_dedup.word_sums(named.withColumn("n", F.size("hashes")), ["text"])
-    hashes = {r.text: r.simhash for r in line_dedup.simhashes(sums, ["text"]).collect()}
-    for r in named.collect():
-        n = len(r.hashes)
-        assert hashes[r.text] == sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in r.hashes) > n)
+    named = split.select(line_dedup.normalised(F.col("line")).alias("text"), F.array_distinct(line_dedup.word_hashes(F.col("line"))).alias("hashes")).where("text <> ''").distinct().collect()
+    hashes = {r.text: sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in r.hashes) > len(r.hashes)) for r in named}
     parent = {t: t for t in hashes}
 
     def root(x):
@@ -395,20 +379,46 @@ def test_line_dedup_equals_brute_force(spark):
                 if 1 - edit(x, y) / max(len(x), len(y)) >= line_dedup.SIMILAR:
                     parent[root(a)] = root(b)
     first, removed = {}, {}
-    for i, t in enumerate(texts):
+    for i, t in sorted(texts.items()):
         for k, line in enumerate((t or "").split("\n")):
             norm = " ".join(line.lower().split())
             if norm and first.setdefault(root(norm), (i, k)) != (i, k):
                 removed.setdefault(i, []).append(k)
+    return removed, hashes
+
+
+def without(text, lines):
+    return "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in lines)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(400)]
+    base = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 40))) for _ in range(40)] + [" ".join(rng.choices(vocabulary, k=300))]
+    lines = list(base)
+    for b in base:
+        for _ in range(4):
+            t = b.split()
+            t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            lines.append(" ".join(t))
+        lines.append(b.upper() + "  ")
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)] + ["", None, "\n \n", "lone line"]
+    docs = documents(spark, texts)
+    removed, want = brute_removed(docs, dict(enumerate(texts)))
+    split = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    named = split.select(line_dedup.normalised(F.col("line")).alias("text"), F.array_distinct(line_dedup.word_hashes(F.col("line"))).alias("hashes")).where("text <> ''").distinct()
+    sums = line_dedup.word_sums(named.withColumn("n", F.size("hashes")), ["text"])
+    assert {r.text: r.simhash for r in line_dedup.simhashes(sums, ["text"]).collect()} == want
     got = {r.doc_id: list(r.removed) for r in line_dedup.decisions(docs).collect() if r.removed}
     assert got == removed and removed
     out = {r.doc_id: r for r in line_dedup.dedup_documents(docs).collect()}
     for i, t in enumerate(texts):
-        kept = [x for k, x in enumerate((t or "").split("\n")) if k not in removed.get(i, [])]
-        if i in removed and not any(x.strip() for x in kept):
+        kept = without(t, removed.get(i, []))
+        if i in removed and not kept.strip():
             assert i not in out
         else:
-            assert (out[i].text or "") == "\n".join(kept)
+            assert (out[i].text or "") == kept
             assert i not in removed or out[i].n_chars == len(out[i].text)
     assert line_dedup.dedup_documents(docs.limit(0)).count() == 0
 
