@@ -109,9 +109,7 @@ def _counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(TOTAL, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total += np.bincount(features(text or ""), minlength=TOTAL) if text and len(text) > 200_000 else 0
-                if text and len(text) <= 200_000:
-                    np.add.at(total, features(text), 1)
+                np.add.at(total, features(text or ""), 1)
         found = np.flatnonzero(total)
         for lo in range(0, len(found), 20_000):
             part = found[lo : lo + 20_000]
