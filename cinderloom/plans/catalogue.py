@@ -562,3 +562,43 @@ def ledger_stream(spark, sf_dir):
     from cinderloom.streaming import ledger as live
 
     return live.drained(spark, sf_dir).select("run_id", F.round("spent", 4).alias("spent"), "attempts")
+
+
+_WINS = """SELECT b.policy, count(*) AS n, count(*) FILTER (s.final > b.final) AS wins FROM v_cells s JOIN v_cells b ON s.policy = '1-URGENT' AND b.policy IN ('2-HIGH', '5-LOW') AND s.dataset = b.dataset AND s.subset = b.subset AND s.seed = b.seed AND s.budget = b.budget GROUP BY 1"""
+
+
+@query(f"""SELECT 'expected_policies_present' AS name, count(*) AS violations FROM (SELECT * FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('9-ABSENT')) t(p) WHERE p NOT IN (SELECT policy FROM v_runs )) x
+UNION ALL SELECT 'expected_budgets_present', count(*) FROM (SELECT * FROM (VALUES (25000), (50000), (75000)) t(b) WHERE b NOT IN (SELECT budget FROM v_runs )) x
+UNION ALL SELECT 'expected_policy_seed_budget_grid', count(*) FROM (SELECT p.policy, s.seed, b.budget, n.subset FROM (SELECT DISTINCT policy FROM v_cells ) p, (SELECT DISTINCT seed FROM v_cells ) s, (SELECT DISTINCT budget FROM v_cells ) b, (SELECT DISTINCT subset FROM v_cells ) n EXCEPT SELECT policy, seed, budget, subset FROM v_cells ) x
+UNION ALL SELECT 'action_space_parity', count(*) FROM (SELECT 1 FROM v_runs GROUP BY dataset, subset, seed, budget HAVING NOT (count(DISTINCT control) = 1 AND count(*) FILTER (coalesce(control, '') = '') = 0)) x
+UNION ALL SELECT 'teacher_attempts_successful', count(*) FROM v_attempts WHERE status NOT IN ('success', 'masked')
+UNION ALL SELECT 'teacher_attempts_present', CAST(count(*) = 0 AS BIGINT) FROM v_attempts
+UNION ALL SELECT 'acquisition_decisions_have_teacher_attempts', count(*) FROM v_cells WHERE run_id NOT IN (SELECT run_id FROM v_attempts )
+UNION ALL SELECT 'no_remaining_budget_violations', count(*) FROM v_attempts WHERE ledger > before + 1e-9
+UNION ALL SELECT 'ledger_continuity', count(*) FROM v_attempts WHERE abs(after - (before - coalesce(ledger, 0))) > 1e-9
+UNION ALL SELECT 'fixed_policy_frontier_available', count(*) FROM v_runs r WHERE NOT EXISTS (SELECT 1 FROM v_cells c WHERE c.policy IN ('2-HIGH', '3-MEDIUM') AND c.dataset = r.dataset AND c.subset = r.subset AND c.seed = r.seed AND c.budget = r.budget)
+UNION ALL SELECT 'heldout_metrics_present', count(*) FROM v_runs WHERE final IS NULL
+UNION ALL SELECT 'success_policy_beats_baselines_final', count(*) FROM ({_WINS}) w WHERE wins / n::DOUBLE < 0.67""")
+def pilot_gate_report(spark, sf_dir):
+    from cinderloom.operators import gates
+
+    r, c, a = v.runs(spark, sf_dir), v.cells(spark, sf_dir), v.attempts(spark, sf_dir)
+    one = lambda x: c.select(x).distinct()
+    axes = cmp.grid(policy=one("policy"), seed=one("seed"), budget=one("budget"), subset=one("subset"))
+    fixed = F.col("policy").isin("2-HIGH", "3-MEDIUM") & (F.col("control") == "")
+    pairs = cmp.pairwise_deltas(c, CELL, "final", "1-URGENT", ["2-HIGH", "5-LOW"]).groupBy("baseline_policy").agg(*cmp.paired_stats())
+    checks = {
+        "expected_policies_present": gates.missing_values(r, "policy", ["1-URGENT", "2-HIGH", "9-ABSENT"]),
+        "expected_budgets_present": gates.missing_values(r, "budget", [25000, 50000, 75000]),
+        "expected_policy_seed_budget_grid": axes.subtract(c.select(*axes.columns)),
+        "action_space_parity": cmp.action_space_parity(r, CELL, "control").where("not parity"),
+        "teacher_attempts_successful": a.where("status not in ('success', 'masked')"),
+        "teacher_attempts_present": gates.empty(a),
+        "acquisition_decisions_have_teacher_attempts": gates.unmatched(c, a, "run_id"),
+        "no_remaining_budget_violations": ledger.calibration(a).where("over_remaining"),
+        "ledger_continuity": a.where(F.abs(F.col("after") - (F.col("before") - F.coalesce("ledger", F.lit(0.0)))) > ledger.EPSILON),
+        "fixed_policy_frontier_available": gates.unavailable_frontier(cmp.oracle_frontier(r, CELL, "final", fixed)),
+        "heldout_metrics_present": r.where("final is null"),
+        "success_policy_beats_baselines_final": pairs.where("win_rate < 0.67"),
+    }
+    return gates.report(checks).select("name", "violations")
