@@ -148,11 +148,11 @@ def oracle_frontier(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE s AS (SELECT v_cells.*, b.baseline FROM v_cells , (VALUES ('2-HIGH'), ('5-LOW'), ('NONE')) b(baseline) WHERE policy = '1-URGENT'), j AS (SELECT s.baseline, s.run_id, x.run_id AS other, s.final - x.final AS delta FROM s LEFT JOIN v_cells x ON x.policy = s.baseline AND x.dataset = s.dataset AND x.subset = s.subset AND x.seed = s.seed AND x.budget = s.budget)
-SELECT baseline, count(other) AS pairs, count(DISTINCT CASE WHEN other IS NULL THEN run_id END) AS missing_pairs, count(*) FILTER (delta > 0) AS wins, round(avg(delta), 4) AS mean_delta, round(count(*) FILTER (delta > 0) / nullif(count(other), 0)::DOUBLE, 6) AS win_rate,
+SELECT baseline, count(other) AS pairs, count(DISTINCT CASE WHEN other IS NULL THEN run_id END) AS missing_pairs, count(*) FILTER (delta > 0) AS wins, round(avg(delta) + 1e-6, 4) AS mean_delta, round(count(*) FILTER (delta > 0) / nullif(count(other), 0)::DOUBLE, 6) AS win_rate,
   coalesce(count(DISTINCT CASE WHEN other IS NULL THEN run_id END) = 0 AND count(*) FILTER (delta > 0) / nullif(count(other), 0)::DOUBLE >= 0.67, false) AS passed FROM j GROUP BY 1""")
 def success_check_missing_pairs(spark, sf_dir):
     rows = cmp.success_check(v.cells(spark, sf_dir), CELL, "final", "1-URGENT", ["2-HIGH", "5-LOW", "NONE"])
-    return rows.select("baseline", "pairs", "missing_pairs", "wins", *r6("mean_delta", digits=4), *r6("win_rate"), "passed")
+    return rows.select("baseline", "pairs", "missing_pairs", "wins", *up("mean_delta", digits=4), *r6("win_rate"), "passed")
 
 
 @query("""WITH RECURSIVE e AS (SELECT * FROM (SELECT DISTINCT policy FROM v_runs ), (SELECT DISTINCT seed FROM v_runs ), (SELECT DISTINCT budget FROM v_runs ), (SELECT DISTINCT subset FROM v_runs ) WHERE policy <> '5-LOW'), f AS (SELECT DISTINCT policy, seed, budget, subset FROM v_runs WHERE run_id % 7 <> 0 AND control = 'P')
