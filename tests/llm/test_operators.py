@@ -428,3 +428,20 @@ def test_word_digests(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in rows:
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_line_dedup_finds_changed_words(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(3, 8)))
+    # Of each pair of lines the second has about one word in ten changed, one at least: edit similarity stays above 0.8.
+    texts = []
+    for n in (6, 8, 12, 16, 20, 30, 60, 120) * 10:
+        line = [word() for _ in range(n)]
+        other = list(line)
+        for k in rng.sample(range(n), max(1, n // 10)):
+            other[k] = "".join(rng.choices(letters, k=len(other[k])))
+        texts += [" ".join(line), " ".join(other)]
+    alike = {2 * k + 1 for k in range(80) if 1 - edit(texts[2 * k], texts[2 * k + 1]) / max(len(texts[2 * k]), len(texts[2 * k + 1])) >= line_dedup.SIMILAR}
+    got = {r.doc_id for r in line_dedup.decisions(documents(spark, texts)).collect() if r.removed}
+    assert got <= alike and len(alike) >= 70 and len(got) >= 0.98 * len(alike)
