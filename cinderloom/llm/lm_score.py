@@ -8,7 +8,7 @@ Both models are matched: the same order, vocabulary, buckets and smoothing, and
 counts are scaled to the target's number of tokens, so smoothing weighs the same. Token and
 context counts are exact; pair counts fall in ``PAIRS`` hashed buckets, which bounds the model
 that goes to the workers whatever the corpus. Counts come from every document; the target text
-is that of the labelled documents of a bounded sample (``quality.SAMPLE``).
+is that of every document labelled 1 (of several labels the greatest counts).
 
 p(w | u) = (pairs(u, w) + MU p(w)) / (contexts(u) + MU), p(w) = (tokens(w) + ALPHA) / (tokens + ALPHA V)
 
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from cinderloom.llm import word_tokens
 from cinderloom.llm.common import map_arrow, pick, written
-from cinderloom.llm.quality import SAMPLE, bounded_labels
 
 PAIRS = 1 << 21
 MU, ALPHA = 20.0, 0.5
@@ -104,10 +103,9 @@ def fit(encoded: DataFrame, vocab: int) -> tuple[Model, Model]:
     return _model(counts[0], vocab, 1.0), _model(counts[1], vocab, n[0] / n[1] if n.all() else 1.0)
 
 
-def score(docs: DataFrame, labels: DataFrame, vocab_path: str, label: str = "quality", bound: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, vocab_path: str, label: str = "quality") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per token, natural logarithm) and score, their difference."""
-    # At most `bound` rows of two numbers: a size that the parameter proves.
-    chosen = F.broadcast(bounded_labels(labels, label, bound).where("label = 1").select(F.col("doc_id").alias("chosen")))
+    chosen = pick(labels, chosen="doc_id", label=label).dropna().groupBy("chosen").agg(F.max("label").alias("label")).where("label = 1").select("chosen")
     flagged = pick(docs, doc_id="doc_id", text="text").join(chosen, F.col("doc_id") == F.col("chosen"), "left")
     encoded = written(tokens(flagged, vocab_path, F.col("chosen").isNotNull()))
     vocab = word_tokens.encoder(vocab_path).library.get_vocab_size()

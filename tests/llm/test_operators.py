@@ -178,6 +178,14 @@ def test_lm_score_equals_dictionary_models(spark):
     assert got[0].score < got[2].score
 
 
+def test_lm_score_counts_every_labelled_document(spark):
+    docs = documents(spark, [f"the cat sat on mat {i} and {i * i}" for i in range(12)] + ["zq zq ! !"])
+    few = spark.range(12).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    many = spark.range(400_000).where("id <> 12").select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    want, got = ({r.doc_id: r.target_loss for r in lm_score.score(docs, x, P.path("word_bpe_49k.json")).collect()} for x in (few, many))
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_quality_keeps_good_text(spark):
     rng = random.Random(4)
     words = ["stone", "river", "garden", "window", "morning", "letter", "paper", "and", "the", "of"]
