@@ -453,3 +453,10 @@ def test_line_dedup_finds_changed_words(spark):
     alike = {2 * k + 1 for k in range(80) if 1 - edit(texts[2 * k], texts[2 * k + 1]) / max(len(texts[2 * k]), len(texts[2 * k + 1])) >= line_dedup.SIMILAR}
     got = {r.doc_id for r in line_dedup.decisions(documents(spark, texts)).collect() if r.removed}
     assert got <= alike and len(alike) >= 70 and len(got) >= 0.98 * len(alike)
+
+
+def test_line_dedup_of_repeated_documents(spark):
+    line = " ".join(f"term{i * 7919 % 1000}" for i in range(20))
+    rows = [(1, line)] * 3 + [(2, line.replace("term919", "other")), (3, "a line of its own")]
+    told = line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_lines, list(r.removed)) for r in told) == [(1, 1, []), (2, 1, [0]), (3, 1, [])]
