@@ -26,7 +26,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = line_dedup.decisions(table(spark, sf_dir, "documents"))
-    return told.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.concat_ws(",", "removed").alias("removed_lines"))
+    return told.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.concat_ws(",", "removed").alias("removed_lines"), F.concat_ws(",", "groups").alias("removed_groups"))
 
 
 def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,24 +367,23 @@ def edit(a, b):
     return row[-1]
 
 
-def brute_removed(docs, texts):
+def brute_removed(texts):
     """The line numbers that line dedup removes from each text, by comparing all lines with each other; texts by id in order."""
-    split = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    named = split.select(line_dedup.normalised(F.col("line")).alias("text"), F.array_distinct(line_dedup.word_hashes(F.col("line"))).alias("hashes")).where("text <> ''").distinct().collect()
-    hashes = {r.text: sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in r.hashes) > len(r.hashes)) for r in named}
-    parent = {t: t for t in hashes}
+    keys = sorted({" ".join(line.lower().split()) for t in texts.values() for line in (t or "").split("\n")} - {""})
+    parent = {t: t for t in keys}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    keys = sorted(hashes)
+    words = {t: Counter(t.split()) for t in keys}
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if (hashes[a] ^ hashes[b]).bit_count() <= line_dedup.BITS:
-                x, y = (a, b) if max(len(a), len(b)) <= line_dedup.LONG else (a.split(), b.split())
-                if 1 - edit(x, y) / max(len(x), len(y)) >= line_dedup.SIMILAR:
+            most = max(len(a), len(b))
+            # Letters beyond those in common must be edited one by one.
+            if abs(len(a) - len(b)) <= 0.2 * most and sum((words[a] & words[b]).values()) and sum((Counter(a) & Counter(b)).values()) >= 0.8 * most:
+                if 1 - edit(a, b) / most >= line_dedup.SIMILAR:
                     parent[root(a)] = root(b)
     first, removed = {}, {}
     for i, t in sorted(texts.items()):
@@ -392,7 +391,7 @@ def brute_removed(docs, texts):
             norm = " ".join(line.lower().split())
             if norm and first.setdefault(root(norm), (i, k)) != (i, k):
                 removed.setdefault(i, []).append(k)
-    return removed, hashes
+    return removed
 
 
 def without(text, lines):
@@ -401,7 +400,7 @@ def without(text, lines):
 
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(11)
-    vocabulary = [f"word{i}" for i in range(400)]
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(400)]
     base = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 40))) for _ in range(40)] + [" ".join(rng.choices(vocabulary, k=300))]
     lines = list(base)
     for b in base:
@@ -413,21 +412,18 @@ def test_line_dedup_equals_brute_force(spark):
     rng.shuffle(lines)
     texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)] + ["", None, "\n \n", "lone line"]
     docs = documents(spark, texts)
-    removed, want = brute_removed(docs, dict(enumerate(texts)))
-    split = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    named = split.select(line_dedup.normalised(F.col("line")).alias("text"), F.array_distinct(line_dedup.word_hashes(F.col("line"))).alias("hashes")).where("text <> ''").distinct()
-    sums = line_dedup.word_sums(named.withColumn("n", F.size("hashes")), ["text"])
-    assert {r.text: r.simhash for r in line_dedup.simhashes(sums, ["text"]).collect()} == want
+    removed = brute_removed(dict(enumerate(texts)))
     got = {r.doc_id: list(r.removed) for r in line_dedup.decisions(docs).collect() if r.removed}
-    assert got == removed and removed
+    found, wanted = ({(i, k) for i, x in r.items() for k in x} for r in (got, removed))
+    assert found <= wanted and len(found) >= 0.98 * len(wanted) and len(wanted) > 100
     out = {r.doc_id: r for r in line_dedup.dedup_documents(docs).collect()}
     for i, t in enumerate(texts):
-        kept = without(t, removed.get(i, []))
-        if i in removed and not kept.strip():
+        kept = without(t, got.get(i, []))
+        if i in got and not kept.strip():
             assert i not in out
         else:
             assert (out[i].text or "") == kept
-            assert i not in removed or out[i].n_chars == len(out[i].text)
+            assert i not in got or out[i].n_chars == len(out[i].text)
     assert line_dedup.dedup_documents(docs.limit(0)).count() == 0
 
 
@@ -457,6 +453,29 @@ def test_line_dedup_finds_changed_words(spark):
 
 def test_line_dedup_of_repeated_documents(spark):
     line = " ".join(f"term{i * 7919 % 1000}" for i in range(20))
-    rows = [(1, line)] * 3 + [(2, line.replace("term919", "other")), (3, "a line of its own")]
+    rows = [(1, line)] * 600 + [(2, line.replace("term919", "other")), (2, line.replace("term919", "other")), (3, "a line of its own"), (4, None), (4, None), (5, " \n"), (6, ""), (None, line)]
     told = line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.n_lines, list(r.removed)) for r in told) == [(1, 1, []), (2, 1, [0]), (3, 1, [])]
+    want = [(None, 1, []), (1, 1, [0]), (2, 1, [0]), (3, 1, []), (4, 0, []), (5, 0, []), (6, 0, [])]
+    assert sorted(((r.doc_id, r.n_lines, list(r.removed)) for r in told), key=lambda r: r[0] or 0) == want
+    assert all(len(r.groups) == len(r.removed) for r in told)
+
+
+def test_line_dedup_bears_long_texts_and_ids_of_any_kind(spark):
+    rng = random.Random(3)
+    many = " ".join(f"w{rng.randrange(5000)}" for _ in range(4000))  # beyond LONG, so words are compared
+    rows = [("a", many), ("b", many.replace("w7 ", "other ")), ("c", "x" * 30_000), ("d", "x" * 29_999), ("e", "\n".join(["same line of five words"] * 3000)), ("f", "y z")]
+    told = {r.doc_id: len(r.removed) for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert told == {"a": 0, "b": 1, "c": 0, "d": 1, "e": 2999, "f": 0}
+
+
+def test_line_dedup_candidates_of_unlike_lines_stay_few(spark):
+    """Lines that share common words but end in a long token of their own meet by pieces of the token too."""
+    rng = random.Random(9)
+    common = [" ".join(rng.choices(["the", "of", "and", "to", "in"], k=6)) for _ in range(20)]
+    counts = []
+    for n in (500, 2000):
+        texts = [f"{rng.choice(common)} {''.join(rng.choices('0123456789abcdef', k=150))}" for _ in range(n)]
+        named = line_dedup.lines(documents(spark, texts)).withColumn("line", F.xxhash64("words"))
+        rows = line_dedup.sketches(named, ["line"]).select("line", F.explode(line_dedup._bucket_keys()).alias("bucket")).groupBy("bucket").count()
+        counts.append(rows.select(F.sum(F.col("count") - 1)).first()[0])
+    assert counts[1] <= 8 * counts[0]
