@@ -475,7 +475,7 @@ def test_line_dedup_candidates_of_unlike_lines_stay_few(spark):
     counts = []
     for n in (500, 2000):
         texts = [f"{rng.choice(common)} {''.join(rng.choices('0123456789abcdef', k=150))}" for _ in range(n)]
-        named = line_dedup.lines(documents(spark, texts)).withColumn("line", F.xxhash64("words"))
+        named = line_dedup.lines(documents(spark, texts)).withColumn("line", F.xxhash64("norm"))
         rows = line_dedup.sketches(named, ["line"]).select("line", F.explode(line_dedup._bucket_keys()).alias("bucket")).groupBy("bucket").count()
         counts.append(rows.select(F.sum(F.col("count") - 1)).first()[0])
     assert counts[1] <= 8 * counts[0]
