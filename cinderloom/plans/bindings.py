@@ -71,7 +71,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs as policy states, with features derived from their keys."""
-    r = runs(spark, sf_dir).where("run_id % 20 = 0")
+    r = runs(spark, sf_dir)
     part = lambda m: (F.col("run_id") % m).cast("double") / m
     return r.select(
         F.col("run_id").alias("state_id"), (F.col("run_id") % 4).cast("int").alias("cycle"), F.lit(5).alias("cycles"), F.col("budget").cast("double").alias("budget"), (F.col("budget") * part(7) / 5).alias("remaining"),
@@ -105,7 +105,7 @@ SQL = {
     "v_labels": """SELECT doc_id AS idx, 1 - toxic AS pred, quality AS "true" FROM labels""",
     "v_sft": """SELECT conv_id, turn, text, next_text FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""",
     "v_states": """SELECT run_id AS state_id, CAST(run_id % 4 AS INTEGER) AS cycle, 5 AS cycles, CAST(budget AS DOUBLE) AS budget, budget * ((run_id % 7)::DOUBLE / 7) / 5 AS remaining, (run_id % 11)::DOUBLE / 11 AS error, (run_id % 13)::DOUBLE / 13 AS entropy,
-        (run_id % 17)::DOUBLE / 17 AS hard, (run_id % 19)::DOUBLE / 19 AS confusion, (run_id % 23)::DOUBLE / 23 AS synthetic_ratio, (run_id % 7)::DOUBLE / 7 AS remaining_frac FROM v_runs WHERE run_id % 20 = 0""",
+        (run_id % 17)::DOUBLE / 17 AS hard, (run_id % 19)::DOUBLE / 19 AS confusion, (run_id % 23)::DOUBLE / 23 AS synthetic_ratio, (run_id % 7)::DOUBLE / 7 AS remaining_frac FROM v_runs""",
     "v_actions": """SELECT o || ':' || t || ':b' || b AS action, o AS operator, t AS tier, b AS batch, false AS is_stop FROM (VALUES ('coverage'), ('boundary'), ('repair')) x(o), (VALUES ('cheap'), ('strong')) y(t), (VALUES (16), (32), (64)) z(b)
       UNION ALL SELECT 'STOP', NULL, NULL, 0, true""",
     "v_options": """SELECT * FROM (SELECT s.*, a.*, CASE WHEN is_stop THEN 0.0::DOUBLE ELSE batch * 64.0::DOUBLE * CASE WHEN tier = 'strong' THEN 2 ELSE 1 END END AS cost FROM v_states s, v_actions a) WHERE is_stop OR cost <= remaining""",

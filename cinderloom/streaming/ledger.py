@@ -27,11 +27,22 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger after all that is there now has streamed through (``availableNow``)."""
-    name = f"ledger_{uuid.uuid4().hex[:12]}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    q = running_ledger(events_stream(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.gettempdir()
+    place = f"{root.rstrip('/')}/ledger_{uuid.uuid4().hex[:12]}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/{batch}")
+        done.append(batch)
+
+    # The whole ledger of the last batch, written by the executors: nothing passes through the driver.
+    done: list[int] = []
+    stream = running_ledger(events_stream(spark, sf_dir))
+    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/{done[-1]}") if done else spark.createDataFrame([], stream.schema)
 
 
 def static(spark: SparkSession, sf_dir: str) -> DataFrame:
