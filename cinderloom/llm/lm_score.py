@@ -4,11 +4,15 @@ A target and a background bigram model share one closed vocabulary, the token id
 BPE file, so every text has a probability under both. A document's score is the mean over its
 tokens of the target loss less the background loss; the lower, the more like the target text.
 
-Both models are matched: the same order, vocabulary, buckets and smoothing, and the background
-counts are scaled to the target's number of tokens, so smoothing weighs the same. Token and
-context counts are exact; pair counts fall in ``PAIRS`` hashed buckets, which bounds the model
-that goes to the workers whatever the corpus. Counts come from every document; the target text
-is that of every document labelled 1 (of several labels the greatest counts).
+Both models are matched: the same order, vocabulary and smoothing, and the background counts
+are scaled to the target's number of tokens, so smoothing weighs the same. Token, context and
+pair counts are exact and cover every document; the target text is that of every document
+labelled 1 (of several labels the greatest counts). The probabilities of a context sum to 1.
+
+Pair counts stay a distributed table, which grows with the corpus. Documents are scored in
+chunks of about ``CHUNK`` tokens: a chunk asks the table for its own distinct pairs and gets
+their counts, so a worker holds no more than a chunk's pairs, whatever the corpus. Only token
+and context counts, at most 2 V + 1 numbers in each model, go to the driver and all workers.
 
 p(w | u) = (pairs(u, w) + MU p(w)) / (contexts(u) + MU), p(w) = (tokens(w) + ALPHA) / (tokens + ALPHA V)
 
@@ -19,88 +23,101 @@ model is uniform. An empty table gives no rows. Further columns are ignored. Tex
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderloom.llm import word_tokens
 from cinderloom.llm.common import map_arrow, pick, written
 
-PAIRS = 1 << 21
 MU, ALPHA = 20.0, 0.5
+#: Tokens of a chunk, a longer document being one of its own.
+CHUNK = 2_000_000
 
 
-def tokens(docs: DataFrame, vocab_path: str, target: Column) -> DataFrame:
-    """doc_id, target flag and ids of every document."""
+def tokens(docs: DataFrame, vocab_path: str, target: Column, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, target flag, ids and chunk of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         encoder = word_tokens.encoder(vocab_path)
+        at, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([encoder.ids(t or "") for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "target", "ids"])
+            ids = [encoder.ids(t or "") for t in batch.column(2).to_pylist()]
+            chunks = []
+            for raw in ids:
+                if held + len(raw) // 4 > chunk and held:
+                    at, held = at + 1, 0
+                held += len(raw) // 4
+                chunks.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(chunks, pa.int64())], ["doc_id", "target", "ids", "chunk"])
 
-    return map_arrow(pick(docs, doc_id="doc_id", target=target, text="text"), run, f"doc_id {kind}, target boolean, ids binary")
+    return map_arrow(pick(docs, doc_id="doc_id", target=target, text="text"), run, f"doc_id {kind}, target boolean, ids binary, chunk bigint")
 
 
-def pair_buckets(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context of each token (``vocab`` at the start) and the bucket of the pair."""
-    left = np.empty(len(ids), np.uint64)
+def pairs(ids: np.ndarray, vocab: int) -> np.ndarray:
+    """A number for each token and the one before it (``vocab`` at the start): context (vocab + 1) + token."""
+    left = np.empty(len(ids), np.int64)
     left[:1] = vocab
     left[1:] = ids[:-1]
-    with np.errstate(over="ignore"):
-        h = (left * np.uint64(vocab + 1) + ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-    return left.astype(np.int64), (h >> np.uint64(64 - (PAIRS.bit_length() - 1))).astype(np.int64)
+    return left * (vocab + 1) + ids
 
 
-@dataclass
-class Model:
-    """token: p(w). context: contexts(u) + MU. pair: pairs in each bucket."""
+def pair_counts(encoded: DataFrame, vocab: int) -> DataFrame:
+    """chunk, pair, n, target: how often a chunk has a pair, in all its documents and in the target's."""
 
-    token: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
+    def run(batches):
+        def sums(chunk: int, parts: list[tuple[bool, np.ndarray]]):
+            found, at = np.unique(np.concatenate([p for _, p in parts]), return_inverse=True)
+            marked = np.concatenate([np.full(len(p), t) for t, p in parts])
+            for lo in range(0, len(found), 50_000):
+                some = slice(lo, lo + 50_000)
+                n, t = np.bincount(at, minlength=len(found))[some], np.bincount(at, marked, len(found))[some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(found[some]), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], ["chunk", "pair", "n", "target"])
+
+        held: list[tuple[bool, np.ndarray]] = []
+        last = None
+        for batch in batches:
+            for flag, raw, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != last and held:
+                    yield from sums(last, held)
+                    held = []
+                last = chunk
+                held.append((bool(flag), pairs(np.frombuffer(raw, "<u4"), vocab)))
+        if held:
+            yield from sums(last, held)
 
-    def losses(self, ids: np.ndarray, left: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        return np.log(self.context[left]) - np.log(self.pair[bucket] + MU * self.token[ids])
+    return map_arrow(encoded.select("target", "ids", "chunk"), run, "chunk bigint, pair bigint, n bigint, target bigint")
 
 
-def _model(counts: np.ndarray, vocab: int, scale: float) -> Model:
-    counts = counts * scale
-    n = counts[:vocab].sum()
-    return Model((counts[:vocab] + ALPHA) / (n + ALPHA * vocab), counts[vocab : 2 * vocab + 1] + MU, counts[2 * vocab + 1 :].astype(np.float32))
+class Model:
+    """token: p(w). context: count(u) + MU, from the sums over pairs."""
 
+    def __init__(self, token: np.ndarray, context: np.ndarray, scale: float = 1.0):
+        self.scale = scale
+        self.token = (token * scale + ALPHA) / (token.sum() * scale + ALPHA * len(token))
+        self.context = context * scale + MU
 
-def fit(encoded: DataFrame, vocab: int) -> tuple[Model, Model]:
-    """Target and background model of the rows of tokens(), all of which are background."""
+    def losses(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
+        left, right = np.divmod(pair, len(self.token) + 1)
+        return np.log(self.context[left]) - np.log(count * self.scale + MU * self.token[right])
 
-    def run(batches):
-        size = 2 * vocab + 1 + PAIRS
-        both = np.zeros((2, size), np.int64)
-        for batch in batches:
-            flags = batch.column(0).to_pylist()
-            for flag, raw in zip(flags, batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw, "<u4")
-                left, bucket = pair_buckets(ids, vocab)
-                for total in both[: 2 if flag else 1]:
-                    np.add.at(total, ids, 1)
-                    np.add.at(total, left + vocab, 1)
-                    np.add.at(total, bucket + 2 * vocab + 1, 1)
-        found = np.flatnonzero(both[0])
-        for lo in range(0, len(found), 50_000):
-            part = found[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(both[0, part]), pa.array(both[1, part])], ["bucket", "n", "target"])
-
-    # The sums have one row per bucket at most: 2 V + 1 + PAIRS, a fixed number.
-    sums = map_arrow(encoded.select("target", "ids"), run, "bucket int, n bigint, target bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toPandas()
-    counts = np.zeros((2, 2 * vocab + 1 + PAIRS))
-    counts[:, sums["bucket"].to_numpy()] = sums[["target", "n"]].to_numpy().T
-    n = counts[:, :vocab].sum(1)
-    return _model(counts[0], vocab, 1.0), _model(counts[1], vocab, n[0] / n[1] if n.all() else 1.0)
+
+def fit(totals: DataFrame, vocab: int) -> tuple[Model, Model]:
+    """Target and background model of the pairs' totals (pair, n, target)."""
+
+    def by(key: Column, size: int) -> np.ndarray:
+        # At most V + 1 rows, a fixed number.
+        rows = totals.groupBy(key.cast("int").alias("k")).agg(F.sum("target").alias("t"), F.sum("n").alias("n")).toPandas()
+        out = np.zeros((2, size))
+        out[:, rows["k"].to_numpy()] = rows[["t", "n"]].to_numpy().T
+        return out
+
+    token, context = by(F.col("pair") % (vocab + 1), vocab), by(F.floor(F.col("pair") / (vocab + 1)), vocab + 1)
+    n = token.sum(1)
+    return Model(token[0], context[0]), Model(token[1], context[1], n[0] / n[1] if n.all() else 1.0)
 
 
 def score(docs: DataFrame, labels: DataFrame, vocab_path: str, label: str = "quality") -> DataFrame:
@@ -109,21 +126,25 @@ def score(docs: DataFrame, labels: DataFrame, vocab_path: str, label: str = "qua
     flagged = pick(docs, doc_id="doc_id", text="text").join(chosen, F.col("doc_id") == F.col("chosen"), "left")
     encoded = written(tokens(flagged, vocab_path, F.col("chosen").isNotNull()))
     vocab = word_tokens.encoder(vocab_path).library.get_vocab_size()
-    # Fixed size: 2 V + 1 token and context entries and PAIRS buckets, in each model.
-    models = docs.sparkSession.sparkContext.broadcast(fit(encoded, vocab))
+    counts = written(pair_counts(encoded, vocab))
+    totals = written(counts.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("target").alias("target")))
+    models = docs.sparkSession.sparkContext.broadcast(fit(totals, vocab))
+    kind = encoded.schema["doc_id"].dataType
 
-    def run(batches):
+    def run(mine: pa.Table, asked: pa.Table) -> pa.Table:
         target, background = models.value
-        for batch in batches:
-            out = []
-            for raw in batch.column(1).to_pylist():
-                ids = np.frombuffer(raw, "<u4")
-                left, bucket = pair_buckets(ids, vocab)
-                n = max(1, len(ids))
-                a, b = float(target.losses(ids, left, bucket).sum()) / n, float(background.losses(ids, left, bucket).sum()) / n
-                out.append((len(ids), a, b, a - b))
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
+        known, first = np.unique(asked.column("pair").to_numpy(), return_index=True)
+        n, t = asked.column("n").to_numpy()[first], asked.column("target").to_numpy()[first]
+        # The loss of every pair of the chunk, once.
+        a, b = target.losses(known, t), background.losses(known, n)
+        out = []
+        for raw in mine.column("ids").to_pylist():
+            at = np.searchsorted(known, pairs(np.frombuffer(raw, "<u4"), vocab))
+            size = max(1, len(at))
+            x, y = float(a[at].sum()) / size, float(b[at].sum()) / size
+            out.append((len(at), x, y, x - y))
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.table([mine.column("doc_id"), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    asked = counts.select("chunk", "pair").join(totals, "pair")
+    return encoded.select("doc_id", "ids", "chunk").groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, f"doc_id {kind.simpleString()}, n_tokens bigint, target_loss double, background_loss double, score double")

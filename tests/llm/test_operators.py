@@ -144,8 +144,8 @@ def test_best_fit_decreasing_and_unpacking(spark):
         assert len(r.ids) == 256 and len(r.positions) == 128 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
 
 
-def test_lm_score_equals_dictionary_models(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "zq zq zq ! ! !", "", None, "the cat sat"]
+def test_lm_score_equals_dictionary_models(spark, monkeypatch):
+    texts = ["the cat sat on the mat", "the dog sat on the log", "zq zq zq ! ! !", "", None, "the cat sat", "long " * 3000]
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in lm_score.score(documents(spark, texts), labels, P.path("word_bpe_49k.json")).collect()}
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
@@ -155,27 +155,33 @@ def test_lm_score_equals_dictionary_models(spark):
     def model(docs, scale):
         tok, ctx, pair = Counter(), Counter(), Counter()
         for i in docs:
-            left, bucket = lm_score.pair_buckets(np.array(ids[i], np.uint32), vocab)
             tok.update(ids[i])
-            ctx.update(left.tolist())
-            pair.update(bucket.tolist())
+            ctx.update([vocab, *ids[i]][: len(ids[i])])
+            pair.update(zip([vocab, *ids[i]], ids[i]))
         n = sum(tok.values()) * scale
 
-        def loss(w, u, b):
-            p = (tok[w] * scale + lm_score.ALPHA) / (n + lm_score.ALPHA * vocab)
-            return -np.log((pair[b] * scale + lm_score.MU * p) / (ctx[u] * scale + lm_score.MU))
+        def p(u, w):
+            return (pair[u, w] * scale + lm_score.MU * (tok[w] * scale + lm_score.ALPHA) / (n + lm_score.ALPHA * vocab)) / (ctx[u] * scale + lm_score.MU)
 
-        return loss
+        return p
 
     target = model([0, 1], 1.0)
-    background = model(range(6), sum(len(ids[i]) for i in (0, 1)) / sum(map(len, ids.values())))
-    for i in range(6):
-        left, bucket = lm_score.pair_buckets(np.array(ids[i], np.uint32), vocab)
+    background = model(range(len(texts)), sum(len(ids[i]) for i in (0, 1)) / sum(map(len, ids.values())))
+    for p in (target, background):  # every context's probabilities sum to 1
+        for u in (vocab, ids[0][0], ids[2][0], 17):
+            assert sum(p(u, w) for w in range(vocab)) == pytest.approx(1.0, abs=1e-9)
+    for i in range(len(texts)):
         n = max(1, len(ids[i]))
-        a = sum(target(w, u, b) for w, u, b in zip(ids[i], left.tolist(), bucket.tolist())) / n
-        z = sum(background(w, u, b) for w, u, b in zip(ids[i], left.tolist(), bucket.tolist())) / n
-        assert got[i].score == pytest.approx(a - z, abs=1e-5)
+        a, z = (-sum(np.log(p(u, w)) for u, w in zip([vocab, *ids[i]], ids[i])) / n for p in (target, background))
+        assert (got[i].target_loss, got[i].background_loss, got[i].n_tokens) == pytest.approx((a, z, len(ids[i])), abs=1e-9)
+        assert got[i].score == pytest.approx(a - z, abs=1e-9) and min(a, z) >= 0
     assert got[0].score < got[2].score
+    # Chunks of any size give the same, repeated rows one result each.
+    monkeypatch.setattr(lm_score.tokens, "__defaults__", (3,))
+    docs = documents(spark, texts)
+    again = lm_score.score(docs.unionAll(docs.where("doc_id = 4")), labels, P.path("word_bpe_49k.json")).collect()
+    assert len(again) == len(texts) + 1 and all(r.score == pytest.approx(got[r.doc_id].score, abs=1e-9) for r in again)
+    assert lm_score.score(docs.limit(0), labels, P.path("word_bpe_49k.json")).count() == 0
 
 
 def test_lm_score_counts_every_labelled_document(spark):
