@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderloom.llm.common import claim, map_arrow, pick, small_batches
+from cinderloom.llm.common import claim, drop, map_arrow, pick, small_batches, written
 from cinderloom.llm.quality import bounded_labels
 
 SAMPLE = 40_000
@@ -180,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     allowed = labels.where(learn_from) if learn_from is not None else labels
     # At most `bound` rows of two numbers: a size that the parameter proves.
     chosen = F.broadcast(bounded_labels(allowed, label, bound))
-    sample = pick(docs, doc_id="doc_id", text="text").join(chosen, "doc_id").select(F.col("label").cast("int").alias("label"), "text").where("label in (0, 1)")
-    counts = _token_counts(sample).persist()
+    sample = pick(docs, doc_id="doc_id", text="text").join(chosen, "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text").where("label in (0, 1)")
+    counts = written(_token_counts(sample.select("label", "text")))
     n1, n0 = counts.where(~F.col("token").endswith("*")).agg(F.sum("toxic"), F.sum("other")).first()
     if not n1 or not n0:
         return None
@@ -194,13 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     # Only what stands out: words and stems of positive score, and words below such a stem that have a lower one. Bounded by the sample.
     good = scored.where("score > 0").select("token", "toxic", "other", "score").toPandas()
     table = dict(zip(good["token"], good["score"]))
-    stems = [t for t in table if t.endswith("*")]
-    known: set[str] = set()
-    if stems:
-        under = F.array(*[F.concat(F.substring("token", 1, k), F.lit("*")) for k in STEMS])
-        of_stem = scored.where(~F.col("token").endswith("*") & F.col("score").__le__(0) & F.arrays_overlap(under, F.array(*[F.lit(s) for s in stems[:5000]])))
-        known = {r[0] for r in of_stem.select("token").collect()}
-    counts.unpersist()
+    stems = scored.where("score > 0 and endswith(token, '*')").select(F.col("token").alias("stem"))
+    under = F.explode(F.array(*[F.concat(F.substring("token", 1, k), F.lit("*")) for k in STEMS]))
+    of_stem = scored.where("score <= 0 and not endswith(token, '*')").select("token", under.alias("stem")).join(stems, "stem", "left_semi")
+    known = {r[0] for r in of_stem.select("token").distinct().collect()}
+    drop(counts)
     model = Model(table, known)
 
     # lambda: the root of sum p exp(lambda s) = 1 over the tokens of other text, one pseudo-occurrence for the best score.
@@ -220,9 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
         claim("toxicity")
         for batch in batches:
             found = [model.segments(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([[x for _, _, x in f] for _, f in found], pa.list_(pa.float64()))], ["label", "n", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([[x for _, _, x in f] for _, f in found], pa.list_(pa.float64()))], ["doc_id", "label", "n", "found"])
 
-    seen = map_arrow(sample, run, "label int, n bigint, found array<double>").toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = map_arrow(sample.select("label", "text", "doc_id"), run, f"doc_id {kind}, label int, n bigint, found array<double>")
+    # One row a labelled document, however often its id stands in docs: at most `bound`.
+    seen = marked.groupBy("doc_id").agg(F.max(F.struct("label", "n", "found")).alias("x")).select("x.*").toPandas()
     other = seen[seen["label"] == 0]
     x0 = min(table.values(), default=1.0)
     with_segment = sum(len(f) > 0 for f in other["found"])
