@@ -125,11 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     """The model of docs (doc_id, text); label 1 marks target text. None if the sample lacks a kind."""
     # At most `bound` rows of two numbers: a size that the parameter proves.
     chosen = F.broadcast(bounded_labels(labels, label, bound))
-    sample = pick(docs, doc_id="doc_id", text="text").join(chosen, "doc_id").select("label", "text")
+    sample = pick(docs, doc_id="doc_id", text="text").join(chosen, "doc_id").select("label", "text", "doc_id")
     kinds = {r[0] for r in sample.select("label").distinct().collect()}
     if not {0, 1} <= kinds:
         return None
-    target = _counts(sample.where("label = 1"))
+    target = _counts(sample.where("label = 1").select("text"))
     raw = _counts(pick(docs, text="text"))
     weights = np.zeros(TOTAL)
     for lo, hi in zip(OFFSETS, OFFSETS[1:]):
@@ -142,9 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     def run(batches):
         claim("quality")
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.importance(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["label", "importance"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([model.importance(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "label", "importance"])
 
-    seen = map_arrow(sample, run, "label int, importance double").toPandas().sort_values("importance")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = map_arrow(sample, run, f"doc_id {kind}, label int, importance double")
+    # One row a labelled document, however often its id stands in docs: at most `bound`.
+    seen = marked.groupBy("doc_id").agg(F.max(F.struct("label", "importance")).alias("x")).select("x.*").toPandas().sort_values("importance")
     good = (seen["label"] == 1).to_numpy()
     x = seen["importance"].to_numpy()
     # Errors of a cut before each position: share of good ones below it and of others from it on, each kind weighing the same.
