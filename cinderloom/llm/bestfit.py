@@ -1,10 +1,9 @@
 """Bounded-space online best-fit packing of documents into token sequences.
 
 A document is its ids and one end id. Only documents longer than a sequence are cut, into full
-pieces and a rest. Pieces arrive in a seeded random order, a window at a time with the longest
-of the window first. A fixed number of bins is open; a bitset keyed by free space gives the
-open bin that a piece fits best in one bit scan, and when a bin must open beyond that number
-the fullest closes first.
+pieces and a rest. Pieces arrive in a seeded random order and each is placed when it arrives. A
+fixed number of bins is open; a bitset keyed by free space gives the open bin that a piece fits
+best in one bit scan, and when a bin must open beyond that number the fullest closes first.
 
 Defined results: a null text is the empty text, whose document is the end id alone. Repeated
 rows are packed each. Ties (bins of equal free space) go to the bin that reached that space
@@ -19,8 +18,6 @@ in memory of its own size; a group wastes at most its last open bins.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,8 +27,8 @@ from cinderloom.llm import word_tokens
 from cinderloom.llm.common import map_arrow, pick, written
 
 CAPACITY = 2048
-#: Bins open at once, pieces that a window sorts, pieces of a group.
-OPEN, WINDOW, GROUP = 4096, 16_384, 262_144
+#: Bins open at once, pieces of a group.
+OPEN, GROUP = 1024, 262_144
 
 
 class OpenBins:
@@ -75,15 +72,11 @@ class OpenBins:
         return name, self.capacity - free
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, most: int = OPEN, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bin and offset of each item, a window of arrivals at a time."""
+def pack(lengths: np.ndarray, capacity: int = CAPACITY, most: int = OPEN) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each item, in the order of arrival."""
     bins = OpenBins(capacity, most)
-    for lo in range(0, len(lengths), window):
-        part = lengths[lo : lo + window]
-        name, offset = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
-        for i in np.argsort(-part, kind="stable").tolist():
-            name[i], offset[i] = bins.put(int(part[i]))
-        yield name, offset
+    placed = np.array([bins.put(n) for n in lengths.tolist()], np.int64).reshape(-1, 2)
+    return placed[:, 0], placed[:, 1]
 
 
 def pieces(docs: DataFrame, vocab_path: str, end_id: int = 0, capacity: int = CAPACITY, doc_id: Column | str = "doc_id", text: Column | str = "text") -> DataFrame:
@@ -106,7 +99,7 @@ def pieces(docs: DataFrame, vocab_path: str, end_id: int = 0, capacity: int = CA
     return map_arrow(pick(docs, doc_id=doc_id, text=text), run, f"doc_id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def pack_pieces(items: DataFrame, capacity: int = CAPACITY, most: int = OPEN, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+def pack_pieces(items: DataFrame, capacity: int = CAPACITY, most: int = OPEN, group: int = GROUP) -> DataFrame:
     """items (with doc_id, piece, length) with sequence_id and offset. items is read twice."""
     groups = -(-items.count() // group) or 1
     order = F.xxhash64(F.col("doc_id").cast("string"), "piece", "length", F.lit(20))
@@ -116,10 +109,10 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, most: int = OPEN, wi
     def one(table: pa.Table) -> pa.Table:
         by = [("arrival", "ascending"), *((n, "ascending") for n in names)]
         table = table.combine_chunks().sort_by(by)
-        found = list(pack(table.column("length").to_numpy(), capacity, most, window))
+        name, offset = pack(table.column("length").to_numpy(), capacity, most)
         # Packing groups are far fewer than 2^20, sequences of one far fewer than 2^40.
         first = table.column("bin_group")[0].as_py() << 40
-        return table.select(names).append_column("sequence_id", pa.array(np.concatenate([n for n, _ in found]) + first)).append_column("offset", pa.array(np.concatenate([o for _, o in found])))
+        return table.select(names).append_column("sequence_id", pa.array(name + first)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
     return keyed.groupBy("bin_group").applyInArrow(one, f"{schema}, sequence_id bigint, offset bigint")
