@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cinderloom.llm import word_tokens
 from cinderloom.llm.common import map_arrow, pick
@@ -83,7 +84,8 @@ def best_fit_decreasing(lengths: list[int], capacity: int = CAPACITY) -> list[li
     return out
 
 
-SEGMENT = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32())])
+def _segment(kind: pa.DataType) -> pa.DataType:
+    return pa.struct([("doc_id", kind), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32())])
 
 
 def packed(docs: DataFrame, vocab_path: str, end_id: int = 0, pad_id: int = 0, capacity: int = CAPACITY, doc_id: Column | str = "doc_id", text: Column | str = "text") -> DataFrame:
@@ -91,7 +93,10 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = 0, pad_id: int = 0, c
     if not 0 < capacity < 1 << 16:
         raise ValueError("a sequence has 1 to 65535 tokens")
 
-    def rows(window: list[tuple[int | None, int, int, bytes]], first: int) -> Iterator[pa.RecordBatch]:
+    kind = docs.select(doc_id).schema[0].dataType
+    arrow = to_arrow_type(kind)
+
+    def rows(window: list[tuple], first: int) -> Iterator[pa.RecordBatch]:
         bins = best_fit_decreasing([len(x[3]) // 4 for x in window], capacity)
         steps = np.arange(capacity, dtype="<u2")
         pad = pad_id.to_bytes(4, "little")
@@ -108,7 +113,7 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = 0, pad_id: int = 0, c
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(lo, lo + len(some), dtype=np.int64) + first), pa.array([int(e[-1]) for e in ends], pa.int32()), pa.array(ids, pa.binary()),
-                    pa.array(positions, pa.binary()), pa.array(ends, pa.list_(pa.int32())), pa.array(segments, pa.list_(SEGMENT)),
+                    pa.array(positions, pa.binary()), pa.array(ends, pa.list_(pa.int32())), pa.array(segments, pa.list_(_segment(arrow))),
                 ],
                 ["sequence_id", "n_tokens", "ids", "positions", "cu_seqlens", "segments"],
             )
@@ -131,7 +136,7 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = 0, pad_id: int = 0, c
         if window:
             yield from rows(window, part + done)
 
-    schema = "sequence_id bigint, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, segments array<struct<doc_id:bigint,piece:int,start:bigint,length:int>>"
+    schema = f"sequence_id bigint, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, segments array<struct<doc_id:{kind.simpleString()},piece:int,start:bigint,length:int>>"
     return map_arrow(pick(docs, doc_id=doc_id, text=text), run, schema)
 
 
@@ -142,6 +147,8 @@ def write_packed(sequences: DataFrame, path: str) -> None:
 
 def unpacked(sequences: DataFrame) -> DataFrame:
     """doc_id, piece, start and ids of every segment, read back from the matrices."""
+    kind = sequences.schema["segments"].dataType.elementType["doc_id"].dataType
+    arrow = to_arrow_type(kind)
 
     def run(batches):
         for batch in batches:
@@ -149,6 +156,6 @@ def unpacked(sequences: DataFrame) -> DataFrame:
             for ids, ends, segments in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 out += [(s["doc_id"], s["piece"], s["start"], ids[4 * a : 4 * b]) for s, a, b in zip(segments, ends, ends[1:])]
             columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (arrow, pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "ids"])
 
-    return map_arrow(sequences.select("ids", "cu_seqlens", "segments"), run, "doc_id bigint, piece int, start bigint, ids binary")
+    return map_arrow(sequences.select("ids", "cu_seqlens", "segments"), run, f"doc_id {kind.simpleString()}, piece int, start bigint, ids binary")
