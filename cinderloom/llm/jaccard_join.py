@@ -363,6 +363,8 @@ def links(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     included); n_class_links: the other classes. stays: whether it is its group's one document
     (the least id; of several texts under that id, one).
     """
+    if not 0 < runs <= len(_RUN_SEEDS):
+        raise ValueError(f"there are 1 to {len(_RUN_SEEDS)} runs")
     every = written(signatures(docs, runs))
     signed = every.where("k1 is not null")
     named = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
