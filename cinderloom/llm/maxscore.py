@@ -13,10 +13,11 @@ Defined results: vectors that are null, or hold a null or non-finite component,
 neither do null ids. A query never returns its own row (rows of the same id). Ties go to the
 smaller id. Repeated ids stand for one vector each and are all candidates. Fewer candidates
 than k give fewer rows. Vectors of another length than the query's are no candidates for it.
-Further columns are ignored. Components must fit 32 bits after scaling, larger ones raise.
+Further columns are ignored. Scores are 64-bit: vectors whose scores might not fit raise.
 
-Scale: the stated query set goes against all rows in blocks. A task holds one shard and one
-block of queries; both have a bounded number of rows, and a query gives at most k rows a shard.
+Scale: the stated query set goes against all rows. A task indexes one shard of a bounded number
+of rows, which the shuffle brings once, and the queries stream past it a batch at a time; a
+query gives at most k rows a shard.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderloom.llm.common import pick
+from cinderloom.llm.common import map_arrow, pick
 
-#: Rows of a shard, queries of a block.
-SHARD, BLOCK = 8192, 1024
+#: Rows of a shard.
+SHARD = 8192
+
+
+def _largest(vectors: np.ndarray) -> int:
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
 
 
 class Shard:
@@ -42,6 +47,7 @@ class Shard:
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
         self.columns = np.ascontiguousarray(self.vectors.T)
         self.norms = np.sqrt((self.vectors.astype(np.float64) ** 2).sum(1))
+        self.largest = _largest(vectors)
         dims = vectors.shape[1]
         self.postings: list[dict[int, np.ndarray]] = []
         self.bounds = np.zeros((dims, 2), np.int64)
@@ -99,14 +105,14 @@ def quantised(vectors: Column, scale: float) -> Column:
     return F.when(good, F.transform(vectors, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")))
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, vec_id: Column | str = "vec_id", vector: Column | str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, vec_id: Column | str = "vec_id", vector: Column | str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all rows but its own. is_query is a condition on vec_id."""
     vectors = pick(rows, vec_id=vec_id, v=vector).where(F.col("vec_id").isNotNull()).select("vec_id", quantised(F.col("v"), scale).alias("v")).where("v is not null")
-    n, m = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
-    h = F.xxhash64("vec_id", "v")
-    candidates = vectors.select("vec_id", "v", F.pmod(h, F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    queries = vectors.where(is_query).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.shiftright(h, 20), F.lit(blocks)).cast("int").alias("b"))
+    shards = max(1, -(-vectors.count() // shard))
+    candidates = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("s"), F.lit(0).alias("kind"), "vec_id", "v")
+    queries = vectors.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.lit(1).alias("kind"), "vec_id", "v")
+    # A shard's candidates come first, then all queries.
+    dealt = candidates.unionAll(queries).repartition(shards, "s").sortWithinPartitions("s", "kind", "vec_id")
 
     def arrays(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """ids and matrix of the rows of each vector length."""
@@ -118,22 +124,37 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, v
             at = np.flatnonzero(sizes == size)
             yield ids[at], flat[ends[at][:, None] + np.arange(size)]
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        pool = {v.shape[1]: (i, v) for i, v in arrays(right)} if right.num_rows else {}
-        for ids, vectors in arrays(left) if left.num_rows else ():
-            if vectors.shape[1] not in pool:
-                continue
-            for m in (vectors, pool[vectors.shape[1]][1]):
-                if m.size and np.abs(m).max() > 1 << 31:
-                    raise ValueError("a scaled component needs more than 32 bits")
-            found = Shard(*pool[vectors.shape[1]])
-            for i, q in zip(ids.tolist(), vectors):
-                which, score = found.top(i, q, k)
-                out += [(i, c, s) for c, s in zip(found.ids[which].tolist(), score.tolist())]
-        columns = list(zip(*out)) or [[]] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    parts = queries.groupBy("s", "b").cogroup(candidates.groupBy("s", "b")).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    def search(batches):
+        at, held, index = None, [], {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            s, kind = table.column("s").to_numpy(), table.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(s)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if s[lo] != at:
+                    at, held, index = s[lo], [], {}
+                part = table.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    index = {v.shape[1]: Shard(i, v) for i, v in arrays(pa.concat_tables(held))}
+                    held = []
+                out: list[tuple[int, int, int]] = []
+                for ids, vectors in arrays(part):
+                    if (found := index.get(vectors.shape[1])) is None:
+                        continue
+                    # Python's integers: the product of two bounds may not fit 64 bits itself.
+                    if vectors.size and vectors.shape[1] * _largest(vectors) * found.largest >= 1 << 62:
+                        raise ValueError("scores of these vectors may not fit 64 bits")
+                    for i, q in zip(ids.tolist(), vectors):
+                        which, score = found.top(i, q, k)
+                        out += [(i, c, x) for c, x in zip(found.ids[which].tolist(), score.tolist())]
+                columns = list(zip(*out)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+    parts = map_arrow(dealt, search, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
