@@ -107,6 +107,8 @@ class Parsed:
     kbits: list[int] = field(default_factory=list)
     tags: dict[str, str] = field(default_factory=dict)
     table: dict[str, int] = field(default_factory=dict)
+    #: Xing: file parts in 256ths that stand before each hundredth of the time. VBRI: bytes of each entry.
+    seek: list[int] = field(default_factory=list)
     crc_ok: int = 0
     crc_bad: int = 0
     skipped: int = 0
@@ -148,31 +150,94 @@ def _trailing_tags(data: bytes, start: int, tags: dict[str, str]) -> int:
     return end
 
 
-def _vbr_table(data: bytes, at: int, h: Header) -> dict[str, int]:
-    """Frame and byte counts of a Xing, Info or VBRI table in the frame, if it has one."""
+def _vbr_table(data: bytes, at: int, h: Header) -> tuple[dict[str, int], list[int]]:
+    """Counts and seek table of a Xing, Info or VBRI header in the frame, if it has one; what the file cuts off is left out."""
     p = at + 4 + (2 if h.protected else 0) + h.side
+    number = lambda q, n: int.from_bytes(data[q : q + n], "big")
     if data[p : p + 4] in (b"Xing", b"Info"):
-        flags, q, out = int.from_bytes(data[p + 4 : p + 8], "big"), p + 8, {"xing": int(data[p : p + 4] == b"Xing")}
+        flags, q, out = number(p + 4, 4), p + 8, {"xing": int(data[p : p + 4] == b"Xing")}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
-                out[name] = int.from_bytes(data[q : q + 4], "big")
+                out[name] = number(q, 4)
                 q += 4
-        if flags & 4:
-            out["toc_last"] = data[q + 99] if q + 99 < len(data) else 0
-        return out
+        seek = list(data[q : q + 100]) if flags & 4 else []
+        q += 100 * bool(flags & 4)
+        if flags & 8 and q + 4 <= len(data):
+            out["quality"] = number(q, 4)
+        return out, seek
     p = at + 36
-    if data[p : p + 4] == b"VBRI":
-        return {"vbri": 1, "bytes": int.from_bytes(data[p + 10 : p + 14], "big"), "frames": int.from_bytes(data[p + 14 : p + 18], "big")}
-    return {}
+    if data[p : p + 4] == b"VBRI" and p + 26 <= len(data):
+        out = {"vbri": 1, "delay": number(p + 6, 2), "quality": number(p + 8, 2), "bytes": number(p + 10, 4), "frames": number(p + 14, 4), "frames_an_entry": number(p + 24, 2)}
+        count, scale, width = number(p + 18, 2), number(p + 20, 2), number(p + 22, 2)
+        ends = range(p + 26, min(p + 26 + count * width, len(data) - width + 1), width) if 1 <= width <= 4 else ()
+        return out, [number(q, width) * scale for q in ends]
+    return {}, []
+
+
+# Fixed values of ISO/IEC 11172-3 (tables B.2a to d) and 13818-3 (table B.1): bits of the
+# allocation of each subband of layer II.
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "lsf": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def _allocation(h: Header) -> tuple[int, ...]:
+    if h.version != 1:
+        return ALLOCATION["lsf"]
+    each = h.kbits // (1 if h.mode == 3 else 2)
+    if each <= 48:
+        return ALLOCATION["d" if h.rate == 32000 else "c"]
+    return ALLOCATION["a" if h.rate == 48000 or each <= 80 else "b"]
+
+
+def _layer2_crc(data: bytes, at: int, h: Header) -> int:
+    """The checksum of a layer II frame: header, bit allocation and scale factor selection, to the bit."""
+    channels, bands = 1 if h.mode == 3 else 2, _allocation(h)
+    shared = min(4 * (h.mode_extension + 1), len(bands)) if h.mode == 1 else len(bands)
+    body = int.from_bytes(data[at + 6 : at + h.size], "big")
+    room = 8 * max(0, min(h.size, len(data) - at) - 6)
+    used = selected = 0
+    for band, bits in enumerate(bands):
+        for _ in range(channels if band < shared else 1):
+            if used + bits > room:
+                return -1
+            if body >> (room - used - bits) & ((1 << bits) - 1):
+                # Above the bound both channels share the allocation but not the selection.
+                selected += 1 if band < shared else channels
+            used += bits
+    used += 2 * selected
+    if used > room:
+        return -1
+    crc = int(crc16(np.frombuffer(data[at + 2 : at + 4] + data[at + 6 : at + 6 + used // 8], np.uint8)[None])[0])
+    for k in range(used - used % 8, used):
+        top = crc >> 15 ^ (body >> (room - k - 1) & 1)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
 
 
 def _crc_span(h: Header) -> int:
-    """Bytes after the CRC that it covers. Layers I and II: the bit allocation, whole bytes of it."""
+    """Bytes after the CRC that it covers in layers I (the bit allocation) and III (the side information)."""
     if h.layer == 3:
         return h.side
     channels = 1 if h.mode == 3 else 2
     bound = 4 * (h.mode_extension + 1) if h.mode == 1 else 32
-    return (bound * channels + 32 - bound) // 2 if h.layer == 1 else 0
+    return (bound * channels + 32 - bound) // 2
+
+
+def _check(data: bytes, view: np.ndarray, h: Header, at: np.ndarray) -> int:
+    """How many of the frames at these offsets, all with this header but for padding, have the right checksum."""
+    said = view[at + 4].astype(np.uint16) * np.uint16(256) + view[at + 5]
+    if h.layer == 2:
+        return sum(_layer2_crc(data, p, parse_header(int.from_bytes(data[p : p + 4], "big"))) == c for p, c in zip(at.tolist(), said.tolist()))
+    covered = np.concatenate([[2, 3], np.arange(6, 6 + _crc_span(h))])
+    good, step = 0, max(1, 4_000_000 // len(covered))
+    for lo in range(0, len(at), step):
+        good += int((crc16(view[at[lo : lo + step, None] + covered]) == said[lo : lo + step]).sum())
+    return good
 
 
 def parse(data: bytes) -> Parsed:
@@ -183,6 +248,7 @@ def parse(data: bytes) -> Parsed:
     view = np.frombuffer(data, np.uint8)
     offsets: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
+    checked: dict[tuple, tuple[Header, list[np.ndarray]]] = {}
     locked, first = False, True
     while at + 4 <= end:
         word = int.from_bytes(data[at : at + 4], "big")
@@ -202,23 +268,27 @@ def parse(data: bytes) -> Parsed:
             continue
         locked = True
         # Frames of the same size with the same header (but for its padding, which changes the size) follow each other.
-        most = (end - at) // h.size
-        heads = view[at : at + most * h.size].reshape(most, h.size)
-        same = (heads[:, :4] == heads[0, :4]).all(1)
-        n = int(np.argmin(same)) if not same.all() else most
+        # The window grows, so that headers that change at every frame cost no more than they are.
+        most, n, window = (end - at) // h.size, 1, 4
+        while n < most:
+            take = min(window, most - n)
+            heads = view[at + n * h.size : at + (n + take) * h.size].reshape(take, h.size)[:, :4]
+            same = (heads == view[at : at + 4]).all(1)
+            if not same.all():
+                n += int(np.argmin(same))
+                break
+            n, window = n + take, window * 4
         run = at + h.size * np.arange(n, dtype=np.int64)
         if first:
             first = False
             out.rate = h.rate
-            if h.layer == 3 and (table := _vbr_table(data, at, h)):
-                out.table = table
-                run, heads, n = run[1:], heads[1:], n - 1  # it holds no sound
+            if h.layer == 3 and (told := _vbr_table(data, at, h))[0]:
+                out.table, out.seek = told
+                run, n = run[1:], n - 1  # it holds no sound
                 at += h.size
         if n:
-            if h.protected and (span := _crc_span(h)):
-                ok = int((crc16(np.hstack([heads[:n, 2:4], heads[:n, 6 : 6 + span]])) == heads[:n, 4] * np.uint16(256) + heads[:n, 5]).sum())
-                out.crc_ok += ok
-                out.crc_bad += n - ok
+            if h.protected:
+                checked.setdefault((h.version, h.layer, h.kbits, h.rate, h.mode, h.mode_extension), (h, []))[1].append(run)
             offsets.append(run)
             sizes.append(np.full(n, h.size, np.int64))
             out.samples += n * h.samples
@@ -230,6 +300,11 @@ def parse(data: bytes) -> Parsed:
             at += n * h.size
     if at < end:
         out.skipped += end - at
+    for h, runs in checked.values():
+        found = np.concatenate(runs)
+        good = _check(data, view, h, found[found + 6 + (0 if h.layer == 2 else _crc_span(h)) <= len(data)])
+        out.crc_ok += good
+        out.crc_bad += len(found) - good
     if offsets:
         out.offsets, out.sizes = np.concatenate(offsets), np.concatenate(sizes)
     return out
@@ -283,7 +358,7 @@ def feature(p: Parsed) -> str:
     return json.dumps(
         {
             "frames": len(p.offsets), "samples": p.samples, "rate": p.rate, "kinds": p.kinds, "kbits": sorted(p.kbits), "crc_ok": p.crc_ok, "crc_bad": p.crc_bad,
-            "skipped": p.skipped, "resyncs": p.resyncs, "table": p.table, "first": int(p.offsets[0]) if len(p.offsets) else -1, "last": int(p.offsets[-1]) if len(p.offsets) else -1,
+            "skipped": p.skipped, "resyncs": p.resyncs, "table": p.table, "seek_entries": len(p.seek), "seek_last": p.seek[-1] if p.seek else -1, "first": int(p.offsets[0]) if len(p.offsets) else -1, "last": int(p.offsets[-1]) if len(p.offsets) else -1,
         },
         sort_keys=True,
     )
