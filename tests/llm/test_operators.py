@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import struct
+import time
 import zlib
 from collections import Counter
 
@@ -78,6 +80,54 @@ def test_mpeg_round_trip_and_resync():
     assert len(mpeg_audio.parse(b"").offsets) == 0 and mpeg_audio.read(b"abc") == b""
 
 
+def bits_crc(bits):
+    """CRC-16 of a string of bits by long division, as the standard's annex draws it."""
+    register = 0xFFFF
+    for b in bits:
+        carry = register >> 15 ^ int(b)
+        register = (register << 1) & 0xFFFF
+        if carry:
+            register ^= 0x8005
+    return register
+
+
+def test_mpeg_frames_made_without_the_writer():
+    # Layer III, 44.1 kHz, 128 kbit/s stereo without checksum: every other frame is padded, 417 and 418 bytes.
+    frames = [bytes([0xFF, 0xFB, 0x90 | 2 * (i % 2), 0x00]).ljust(417 + i % 2, b"\0") for i in range(32_000)]
+    begin = time.process_time()
+    found = mpeg_audio.parse(b"".join(frames))
+    assert time.process_time() - begin < 10 and found.samples == 1152 * 32_000 and found.skipped == found.resyncs == 0
+    assert found.offsets.tolist() == np.cumsum([0, *(len(f) for f in frames[:-1])]).tolist()
+    # Layer II, 48 kHz, 192 kbit/s joint stereo (bound 8) with checksum: 27 subbands, 4 4 ... 3 ... 2 bits.
+    rng = random.Random(21)
+    made = []
+    for _ in range(20):
+        head = bytes([0xFF, 0xFC, 0xA4, 0x50])
+        widths = [4] * 11 + [3] * 12 + [2] * 4
+        allocation, selections = "", 0
+        for band, width in enumerate(widths):
+            for _ in range(2 if band < 8 else 1):
+                value = rng.choice([0, rng.randrange(1 << width)])
+                allocation += f"{value:0{width}b}"
+                selections += (value > 0) * (1 if band < 8 else 2)
+        chosen = allocation + "".join(rng.choice("01") for _ in range(2 * selections))
+        crc = bits_crc("".join(f"{b:08b}" for b in head[2:]) + chosen)
+        body = int(chosen.ljust(8 * 570, "0"), 2).to_bytes(570, "big")
+        made.append(head + crc.to_bytes(2, "big") + body)
+    found = mpeg_audio.parse(b"".join(made))
+    assert (len(found.offsets), found.crc_ok, found.crc_bad, found.kinds) == (20, 20, 0, ["1.2"])
+    broken = bytearray(b"".join(made))
+    broken[576 * 7 + 6] ^= 128
+    assert mpeg_audio.parse(bytes(broken)).crc_bad == 1
+    # Xing and VBRI tables in a first frame of layer III stereo (32 bytes of side information).
+    xing = (bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(32) + b"Xing" + (15).to_bytes(4, "big") + (9).to_bytes(4, "big") + (3753).to_bytes(4, "big") + bytes(range(100)) + (77).to_bytes(4, "big")).ljust(417, b"\0")
+    found = mpeg_audio.parse(xing + b"".join(frames[:1]) * 9)
+    assert found.table == {"xing": 1, "frames": 9, "bytes": 3753, "quality": 77} and found.seek == list(range(100)) and len(found.offsets) == 9
+    vbri = (bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 2, 80, 3753, 9, 3, 2, 2, 3) + struct.pack(">HHH", 600, 601, 602)).ljust(417, b"\0")
+    found = mpeg_audio.parse(vbri + b"".join(frames[:1]) * 9)
+    assert found.table == {"vbri": 1, "delay": 2, "quality": 80, "bytes": 3753, "frames": 9, "frames_an_entry": 3} and found.seek == [1200, 1202, 1204]
+
+
 def test_mpeg_columns(spark):
     rows = mpeg_audio.probe(mpeg_audio.store(documents(spark, ODD))).collect()
     for r in rows:
@@ -109,11 +159,45 @@ def test_bounded_best_fit(spark):
     rng = random.Random(5)
     texts = [*ODD, *[" ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(1, 150))) for _ in range(300)]]
     pieces = bestfit.pack_pieces(bestfit.pieces(documents(spark, texts), P.path("word_bpe_49k.json"), capacity=64).cache(), capacity=64).collect()
-    total = sum(r.length for r in pieces)
-    assert check_packing(pieces, texts, 64) <= -(-total // 64) * 1.02 + 1
+    check_packing(pieces, texts, 64)
+    again = bestfit.pack_documents(documents(spark, texts + texts), P.path("word_bpe_49k.json"), capacity=64).collect()
+    assert check_packing(again, texts + texts, 64) == len({r.sequence_id for r in again})
     assert bestfit.pack_documents(documents(spark, []), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_pack_equals_plain_online_best_fit():
+    rng = random.Random(12)
+    for most in (1, 3, 50):
+        lengths = [rng.choice([rng.randint(1, 100), 100, 50, 7]) for _ in range(2000)]
+        free, closed, want = {}, [], []  # open bins with their free space, oldest change first
+        for n in lengths:
+            fits = [b for b in free if free[b] >= n]
+            if n == 100:
+                b, room = len(closed) + len(free), 100
+                closed.append(b)
+            elif fits:
+                least = min(free[b] for b in fits)
+                b = [b for b in fits if free[b] == least][-1]
+                room = free.pop(b)
+            else:
+                if len(free) == most:
+                    full = min(free.values())
+                    gone = [b for b in free if free[b] == full][-1]
+                    closed.append(gone)
+                    del free[gone]
+                b, room = len(closed) + len(free), 100
+            want.append((b, 100 - room))
+            if n < 100:
+                if room > n:
+                    free[b] = room - n
+                else:
+                    closed.append(b)
+        name, offset = bestfit.pack(np.array(lengths), 100, most)
+        assert list(zip(name.tolist(), offset.tolist())) == want
+    name, offset = bestfit.pack(np.zeros(0, np.int64), 100)
+    assert len(name) == len(offset) == 0
+
+
 def test_open_bins_stay_bounded_and_close_the_fullest():
     bins = bestfit.OpenBins(10, 2)
     assert [bins.put(n) for n in (6, 7, 9)] == [(0, 0), (1, 0), (2, 0)]  # the bin of 7 closed
@@ -140,6 +224,9 @@ def test_best_fit_decreasing_and_unpacking(spark):
         got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
     for i, t in enumerate(texts):
         assert got[i] == np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+    named = spark.createDataFrame([("a", "one two"), ("a", "one two"), (None, None)], "doc_id string, text string")
+    assert Counter(r.doc_id for r in token_packing.unpacked(token_packing.packed(named, P.path("word_bpe_49k.json"))).collect()) == {"a": 2, None: 1}
+    assert token_packing.packed(named.limit(0), P.path("word_bpe_49k.json")).count() == 0
     for r in packed.collect():
         assert len(r.ids) == 256 and len(r.positions) == 128 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
 
@@ -268,11 +355,14 @@ def test_maxscore_equals_sql(spark, tmp_path):
     vectors += [(400, None, 0), (450, [float("nan")] * 6, 0), (500, [None] * 6, 0), (1, [9.0] * 6, 0), (550, [1.0] * 4, 0), (600, [0.0] * 6, 0)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     df.coalesce(1).write.parquet(str(tmp_path / "e"))
-    got = sorted(tuple(r) for r in maxscore.top_k(df, F.col("vec_id") % 50 == 0, shard=64, block=4).select("query_id", "rank", "vec_id", "score").collect())
+    got = sorted(tuple(r) for r in maxscore.top_k(df, F.col("vec_id") % 50 == 0, shard=64).select("query_id", "rank", "vec_id", "score").collect())
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
     assert got == sorted(con.execute(registry.OP7_SQL).fetchall())
     assert maxscore.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    large = spark.createDataFrame([(0, [float(1 << 24), float(1 << 24)]), (1, [float(1 << 24)] * 2), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="may not fit"):
+        maxscore.top_k(large, F.col("vec_id") == 0).collect()
 
 
 def shingle_set(text):
