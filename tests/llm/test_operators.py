@@ -474,13 +474,21 @@ def brute_removed(texts):
         return x
 
     words = {t: Counter(t.split()) for t in keys}
+    holders = {}
+    for i, t in enumerate(keys):
+        for w in words[t]:
+            holders.setdefault(w, []).append(i)
     for i, a in enumerate(keys):
-        for b in keys[:i]:
-            most = max(len(a), len(b))
-            # Letters beyond those in common must be edited one by one.
-            if abs(len(a) - len(b)) <= 0.2 * most and sum((words[a] & words[b]).values()) and sum((Counter(a) & Counter(b)).values()) >= 0.8 * most:
-                if 1 - edit(a, b) / most >= line_dedup.SIMILAR:
-                    parent[root(a)] = root(b)
+        shared = Counter(j for w in words[a] for j in holders[w] if j < i)
+        for j, n in shared.items():
+            b = keys[j]
+            longer = max(len(a), len(b))
+            # Lines that share less than two fifths of their words are taken as unlike.
+            if n < 0.4 * max(len(words[a]), len(words[b])) or abs(len(a) - len(b)) > 0.2 * longer:
+                continue
+            x, y = (a, b) if longer <= line_dedup.LONG else (a.split(), b.split())
+            if 1 - edit(x, y) / max(len(x), len(y)) >= line_dedup.SIMILAR:
+                parent[root(a)] = root(b)
     first, removed = {}, {}
     for i, t in sorted(texts.items()):
         for k, line in enumerate((t or "").split("\n")):
