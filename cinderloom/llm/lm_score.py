@@ -37,20 +37,25 @@ MU, ALPHA = 20.0, 0.5
 CHUNK = 2_000_000
 
 
+def id_type(vocab: int) -> str:
+    return "<u2" if vocab <= 1 << 16 else "<u4"
+
+
 def tokens(docs: DataFrame, vocab_path: str, target: Column, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, target flag, ids and chunk of every document."""
+    """doc_id, target flag, ids (16 bits each where the vocabulary allows) and chunk of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    width = id_type(word_tokens.encoder(vocab_path).library.get_vocab_size())
 
     def run(batches):
         encoder = word_tokens.encoder(vocab_path)
         at, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            ids = [encoder.ids(t or "") for t in batch.column(2).to_pylist()]
-            chunks = []
-            for raw in ids:
-                if held + len(raw) // 4 > chunk and held:
+            found = [np.frombuffer(encoder.ids(t or ""), "<u4") for t in batch.column(2).to_pylist()]
+            ids, chunks = [x.astype(width).tobytes() for x in found], []
+            for x in found:
+                if held + len(x) > chunk and held:
                     at, held = at + 1, 0
-                held += len(raw) // 4
+                held += len(x)
                 chunks.append(at)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(chunks, pa.int64())], ["doc_id", "target", "ids", "chunk"])
 
@@ -85,7 +90,7 @@ def pair_counts(encoded: DataFrame, vocab: int) -> DataFrame:
                     yield from sums(last, held)
                     held = []
                 last = chunk
-                held.append((bool(flag), pairs(np.frombuffer(raw, "<u4"), vocab)))
+                held.append((bool(flag), pairs(np.frombuffer(raw, id_type(vocab)), vocab)))
         if held:
             yield from sums(last, held)
 
@@ -123,7 +128,8 @@ def fit(totals: DataFrame, vocab: int) -> tuple[Model, Model]:
 def score(docs: DataFrame, labels: DataFrame, vocab_path: str, label: str = "quality") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per token, natural logarithm) and score, their difference."""
     chosen = pick(labels, chosen="doc_id", label=label).dropna().groupBy("chosen").agg(F.max("label").alias("label")).where("label = 1").select("chosen")
-    flagged = pick(docs, doc_id="doc_id", text="text").join(chosen, F.col("doc_id") == F.col("chosen"), "left")
+    # Labels grow with the documents: both sides are shuffled at every size, and a hot id's partition can be split.
+    flagged = pick(docs, doc_id="doc_id", text="text").join(chosen.hint("merge"), F.col("doc_id") == F.col("chosen"), "left")
     encoded = written(tokens(flagged, vocab_path, F.col("chosen").isNotNull()))
     vocab = word_tokens.encoder(vocab_path).library.get_vocab_size()
     counts = written(pair_counts(encoded, vocab))
@@ -139,7 +145,7 @@ def score(docs: DataFrame, labels: DataFrame, vocab_path: str, label: str = "qua
         a, b = target.losses(known, t), background.losses(known, n)
         out = []
         for raw in mine.column("ids").to_pylist():
-            at = np.searchsorted(known, pairs(np.frombuffer(raw, "<u4"), vocab))
+            at = np.searchsorted(known, pairs(np.frombuffer(raw, id_type(vocab)), vocab))
             size = max(1, len(at))
             x, y = float(a[at].sum()) / size, float(b[at].sum()) / size
             out.append((len(at), x, y, x - y))
