@@ -116,7 +116,7 @@ def bootstrap_sampled(rows: DataFrame, keys: list[str], value: str, order: str,
 def oracle_frontier(runs: DataFrame, keys: list[str], value: str, fixed: Column, mode: str = "max") -> DataFrame:
     """Each run beside the best fixed run of its group (ties: first run id) and its distance to it."""
     sign = 1 if mode == "max" else -1
-    best = F.max_by(F.struct(F.col(value).alias("v"), F.col("policy").alias("p")), F.struct((sign * F.col(value)).alias("v"), (-F.col("run_id")).alias("r")))
+    best = F.min_by(F.struct(F.col(value).alias("v"), F.col("policy").alias("p")), F.struct((-sign * F.col(value)).alias("v"), F.col("run_id").alias("r")))
     top = runs.where(fixed & F.col(value).isNotNull()).groupBy(*keys).agg(best.alias("_best"))
     joined = null_safe(runs, top, keys, "left")
     distance = -improvement(F.col(value), F.col("oracle_value"), mode)
