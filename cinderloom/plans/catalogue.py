@@ -606,3 +606,7 @@ def pilot_gate_report(spark, sf_dir):
         "success_policy_beats_baselines_final": pairs.where("win_rate < 0.67"),
     }
     return gates.report(checks).select("name", "violations")
+
+
+# Registers more queries; it takes the decorator from here, so it comes last.
+from cinderloom.plans import row_queries  # noqa: E402, F401
