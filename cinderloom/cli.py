@@ -1,4 +1,4 @@
-"""Commands: analyze, certificates, gate, policy-smoke and query."""
+"""Commands: analyze, certificates, provenance, gate, policy-smoke and query."""
 
 from __future__ import annotations
 
@@ -40,6 +40,20 @@ def certificates(args) -> int:
     return int(not rows.where("not certificate_passed").isEmpty())
 
 
+def provenance(args) -> int:
+    """The provenance audit and the tokens of seed data; exit 1 if a run fails the audit."""
+    from cinderloom.operators import provenance as origin
+    from cinderloom.sources import artifacts
+
+    spark = session()
+    every = artifacts.files(spark, *args.paths)
+    found = every.join(artifacts.run_dirs(every), "dir")
+    seeds = origin.seed_files(found, origin.materialized(spark, *(args.data or args.paths)))
+    rows = origin.audit(found, seeds)
+    rows.join(origin.seed_tokens(found, seeds).drop("manifests"), "dir", "left").show(truncate=False)
+    return int(not rows.where("not passed").isEmpty())
+
+
 def gate(args) -> int:
     """The run-level checks; exit 1 if one fails."""
     from cinderloom.operators import gates
@@ -89,6 +103,10 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name)
         c.add_argument("paths", nargs="+")
         c.set_defaults(run=f)
+    o = sub.add_parser("provenance")
+    o.add_argument("paths", nargs="+")
+    o.add_argument("--data", nargs="*", help="folders of data files and their manifests, if not below the runs")
+    o.set_defaults(run=provenance)
     s = sub.add_parser("policy-smoke")
     s.add_argument("--policy", default="linear")
     s.set_defaults(run=policy_smoke)

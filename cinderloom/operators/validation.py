@@ -78,20 +78,6 @@ def named_failures(checks: dict[str, Column]) -> Column:
     return F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))), ";")
 
 
-def provenance(manifests: DataFrame) -> DataFrame:
-    """dir, passed and failure_reasons of run manifests (dir, doc: a map of JSON texts)."""
-    part = lambda k: F.from_json(F.try_element_at(F.col("doc"), F.lit(k)), "map<string,string>")
-    text = lambda k: F.coalesce(F.try_element_at(F.col("doc"), F.lit(k)), F.lit(""))
-    repro = part("reproducibility")
-    origin = F.from_json(F.try_element_at(repro, F.lit("config_provenance")), "map<string,string>")
-    hashes = [F.try_element_at(origin, F.lit(k)) for k in ("source_sha256", "run_copy_sha256")]
-    checks = {
-        "missing_run_id": text("run_id") != "", "missing_config_hash": text("config_hash") != "", "missing_reproducibility": repro.isNotNull(), "missing_sections": has_keys(repro, "source_control", "runtime", "environment", "dataset_source", "models", "config_provenance"),
-        "config_copy_differs": hashes[0].eqNullSafe(hashes[1]) & hashes[0].isNotNull(),
-    }
-    return manifests.withColumn("failure_reasons", named_failures(checks)).select("dir", (F.col("failure_reasons") == "").alias("passed"), "failure_reasons")
-
-
 def threshold_failures(summary: DataFrame, least: dict[str, float]) -> DataFrame:
     """Summary rows of all budgets below a threshold, with the names of those they miss."""
     rows = summary.where("budget = 'ALL'").withColumn("failures", named_failures({f"{c}_below_threshold": F.col(c) >= v for c, v in least.items()}))

@@ -39,6 +39,22 @@ def files(spark: SparkSession, *roots: str) -> DataFrame:
     return named.where(wanted).dropDuplicates(["dir", "name"])
 
 
+def first_existing(spark: SparkSession, *paths: str) -> str | None:
+    """The first of a few paths that is there, on whatever file system its address names."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return path
+    return None
+
+
+def calibration_csv(spark: SparkSession, report_dir: str) -> DataFrame | None:
+    """The calibration table of a report: its own, its audit's or that of the audit beside it; None where there is none."""
+    root = report_dir.rstrip("/")
+    path = first_existing(spark, f"{root}/teacher_calibration.csv", f"{root}/audit/teacher_calibration.csv", f"{root.rsplit('/', 1)[0]}/audit/teacher_calibration.csv")
+    return spark.read.option("header", "true").csv(path) if path else None
+
+
 def run_dirs(found: DataFrame) -> DataFrame:
     """Directories that hold all required files; below a run no other is looked for."""
     runs = found.where(F.col("name").isin(*REQUIRED)).groupBy("dir").agg(F.count_distinct("name").alias("n")).where(F.col("n") == len(REQUIRED)).select("dir")

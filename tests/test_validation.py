@@ -32,10 +32,6 @@ def test_validation(spark):
         validation.require_splits(rows.withColumn("split", F.lit("train")))
     new = spark.createDataFrame([("p", "r", None), (" ", "r", None)], "student_prompt string, teacher_response string, gold_answer string")
     assert [r.gold_answer for r in validation.augmented_rows(new, 1, "t", "coverage").collect()] == ["r"]
-    full = {"run_id": '"r"', "config_hash": '"h"', "reproducibility": json.dumps({k: {} for k in ("source_control", "runtime", "environment", "dataset_source", "models")} | {"config_provenance": {"source_sha256": "a", "run_copy_sha256": "b"}})}
-    manifests = spark.createDataFrame([("d", full), ("e", {})], "dir string, doc map<string,string>")
-    got = {r.dir: r.failure_reasons for r in validation.provenance(manifests).collect()}
-    assert got["d"] == "config_copy_differs" and "missing_run_id" in got["e"]
     names = F.lit("same_count")
     assert spark.range(1).select(validation.is_fixed(F.lit("fixed_a"), names, ["same_count"]).alias("x")).first().x is False
 
