@@ -30,13 +30,14 @@ DECISION = (
 
 def files(spark: SparkSession, *roots: str) -> DataFrame:
     """dir, name and content of every artifact below the roots; a directory that two roots reach counts once."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    names = (*REQUIRED, "policy_decisions.jsonl", "teacher_attempts.jsonl")
+    # Other files, models and data sets among them, are listed and not read.
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(names)}}}")
     parts = [read.load(r).select("path", "content") for r in roots]
     rows = reduce(DataFrame.unionByName, parts)
     path = F.regexp_replace("path", "^file:/*", "/")
     named = rows.select(F.regexp_extract(path, "^(.*)/([^/]+)$", 1).alias("dir"), F.regexp_extract(path, "^(.*)/([^/]+)$", 2).alias("name"), F.decode("content", "UTF-8").alias("content"))
-    wanted = F.col("name").isin(*REQUIRED, "policy_decisions.jsonl", "teacher_attempts.jsonl")
-    return named.where(wanted).dropDuplicates(["dir", "name"])
+    return named.dropDuplicates(["dir", "name"])
 
 
 def first_existing(spark: SparkSession, *paths: str) -> str | None:
