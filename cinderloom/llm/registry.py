@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinderloom.llm import bestfit, bpe, jaccard_join, line_dedup, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
+from cinderloom.llm import bestfit, bpe, changepoints, jaccard_join, line_dedup, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
 from cinderloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -107,9 +107,57 @@ def op10_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoints.segments(table(spark, sf_dir, "sale_lines"), "vendor_id", "quantity", "shipped_at").withColumnRenamed("key", "vendor_id")
+
+
+#: One step a day over all series: lists hold the best cost, segments and last start of every prefix. The least struct wins, field by field.
+OP11_SQL = """
+WITH RECURSIVE sums AS (
+  SELECT vendor_id, CAST(CAST(shipped_at AS DATE) - DATE '1970-01-01' AS BIGINT) AS day, sum(quantity) AS x
+  FROM sale_lines WHERE quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL
+), spans AS (
+  SELECT row_number() OVER () AS series, vendor_id, min(day) AS d0, max(day) - min(day) + 1 AS n FROM sums GROUP BY vendor_id
+), days AS (
+  SELECT series, vendor_id, d0, n, unnest(range(n)) AS i FROM spans
+), filled AS (
+  SELECT d.series, d.i, coalesce(s.x, 0) AS x
+  FROM days d LEFT JOIN sums s ON d.vendor_id IS NOT DISTINCT FROM s.vendor_id AND d.d0 + d.i = s.day
+), running AS (
+  SELECT series, i, CAST(sum(x) OVER w AS BIGINT) AS s, CAST(sum(x * x) OVER w AS BIGINT) AS q
+  FROM filled WINDOW w AS (PARTITION BY series ORDER BY i ROWS UNBOUNDED PRECEDING)
+), prefix AS (
+  SELECT series, list_prepend(0, list(s ORDER BY i)) AS s, list_prepend(0, list(q ORDER BY i)) AS q, count(*) AS n FROM running GROUP BY series
+), best AS (
+  SELECT series, 0::BIGINT AS t, [{'c': 0::BIGINT, 'k': 0::BIGINT, 's': 0::BIGINT}] AS f FROM prefix
+  UNION ALL
+  SELECT b.series, b.t + 1, list_append(b.f, list_min(list_transform(
+    list_filter(range(b.t + 2), lambda a: a = 0 OR (a >= 14 AND b.t + 1 - a >= 14)),
+    lambda a: {
+      'c': CAST(CASE WHEN a = 0 AND b.t + 1 < 14 AND b.t + 1 < p.n THEN 1000000000000 ELSE b.f[a + 1].c + CASE WHEN a > 0 THEN 40000 ELSE 0 END
+        + (b.t + 1 - a) * floor(1000 * ln(1 + ((b.t + 1 - a) * (p.q[b.t + 2] - p.q[a + 1]) - (p.s[b.t + 2] - p.s[a + 1]) * (p.s[b.t + 2] - p.s[a + 1])) // ((b.t + 1 - a) * (b.t + 1 - a)))) END AS BIGINT),
+      'k': b.f[a + 1].k + 1,
+      's': CAST(a AS BIGINT)})))
+  FROM best b JOIN prefix p USING (series) WHERE b.t < p.n
+), cut AS (
+  SELECT b.series, b.f, p.s, p.q, p.n AS t, b.f[p.n + 1].s AS a, b.f[p.n + 1].k AS k FROM best b JOIN prefix p ON b.series = p.series AND b.t = p.n
+  UNION ALL
+  SELECT series, f, s, q, a, f[a + 1].s, f[a + 1].k FROM cut WHERE a > 0
+), told AS (
+  SELECT v.vendor_id, CAST(c.k AS INTEGER) AS segment_no, v.d0 + c.a AS first_day, c.t - c.a AS n_days,
+    c.s[c.t + 1] - c.s[c.a + 1] AS total, c.q[c.t + 1] - c.q[c.a + 1] AS squares, v.n, c.f
+  FROM cut c JOIN spans v USING (series)
+)
+SELECT vendor_id, segment_no, first_day, n_days, total, 1 + (n_days * squares - total * total) // (n_days * n_days) AS spread,
+  CAST(n_days * floor(1000 * ln(1 + (n_days * squares - total * total) // (n_days * n_days))) AS BIGINT) AS cost,
+  f[n + 1].k AS n_segments, f[n + 1].c AS best_cost
+FROM told
+"""
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_fuzzy_lines, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_fuzzy_lines, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit, op11_change_points)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_maxscore": OP7_SQL}
+    return {"op7_maxscore": OP7_SQL, "op11_change_points": OP11_SQL}
