@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinderloom.llm import bestfit, bpe, changepoints, jaccard_join, line_dedup, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
+from cinderloom.llm import bestfit, bpe, changepoints, curve_packing, fim, jaccard_join, line_dedup, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
 from cinderloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -155,9 +155,35 @@ FROM told
 """
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restored(fim.transform(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+), cuts AS (
+  SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || d[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || d[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || d[17:24] AS BIGINT) % 100 >= 100 AS plain, CAST('0x' || d[25:32] AS BIGINT) % 100 < 50 AS spm FROM lines
+), parts AS (
+  SELECT doc_id, t, n, plain, spm, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM cuts
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN spm THEN concat('<S>', s, '<P>', p, '<M>', m) ELSE concat('<P>', p, '<S>', s, '<M>', m) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_fuzzy_lines, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit, op11_change_points)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_fuzzy_lines, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit, op11_change_points, op12_fill_in_middle, op13_curve_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_maxscore": OP7_SQL, "op11_change_points": OP11_SQL}
+    return {"op7_maxscore": OP7_SQL, "op11_change_points": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
