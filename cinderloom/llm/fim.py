@@ -40,21 +40,21 @@ PART = 8 << 20
 
 TRANSFORM = r"""
 WITH cut AS (
-  SELECT at, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256({seed} || ':' || coalesce(name, '')) AS digest
+  SELECT place, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256({seed} || ':' || coalesce(name, '')) AS digest
   FROM batch
 ), drawn AS (
-  SELECT at, text, units, CAST(len(units) AS BIGINT) AS n,
+  SELECT place, text, units, CAST(len(units) AS BIGINT) AS n,
     list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(digest, i, 8) AS BIGINT)) AS h
   FROM cut
 ), placed AS (
-  SELECT at, text, units, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  SELECT place, text, units, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
     CASE WHEN text = '' OR contains(text, {P}) OR contains(text, {S}) OR contains(text, {M}) OR h[3] % 100 >= {rate} THEN 'plain' WHEN h[4] % 100 < {spm} THEN 'spm' ELSE 'psm' END AS form
   FROM drawn
 ), parts AS (
-  SELECT at, text, n, form, array_to_string(list_slice(units, 1, a), '') AS prefix, array_to_string(list_slice(units, a + 1, b), '') AS middle, array_to_string(list_slice(units, b + 1, n), '') AS suffix
+  SELECT place, text, n, form, array_to_string(list_slice(units, 1, a), '') AS prefix, array_to_string(list_slice(units, a + 1, b), '') AS middle, array_to_string(list_slice(units, b + 1, n), '') AS suffix
   FROM placed
 )
-SELECT at, n, form,
+SELECT place, n, form,
   CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
   CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
   CASE form WHEN 'plain' THEN text WHEN 'psm' THEN {P} || prefix || {S} || suffix || {M} || middle ELSE {S} || suffix || {P} || prefix || {M} || middle END AS output
@@ -63,11 +63,11 @@ FROM parts
 
 RESTORE = r"""
 WITH split AS (
-  SELECT at, form, text, string_split(text, {M}) AS m FROM batch
+  SELECT place, form, text, string_split(text, {M}) AS m FROM batch
 ), first AS (
-  SELECT at, form, text, m, CASE form WHEN 'psm' THEN string_split(substr(m[1], {after_p}), {S}) WHEN 'spm' THEN string_split(substr(m[1], {after_s}), {P}) END AS p FROM split
+  SELECT place, form, text, m, CASE form WHEN 'psm' THEN string_split(substr(m[1], {after_p}), {S}) WHEN 'spm' THEN string_split(substr(m[1], {after_s}), {P}) END AS p FROM split
 )
-SELECT at, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN p[1] || m[2] || p[2] ELSE p[2] || m[2] || p[1] END AS restored
+SELECT place, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN p[1] || m[2] || p[2] ELSE p[2] || m[2] || p[1] END AS restored
 FROM first
 """
 
@@ -81,10 +81,10 @@ def connection():
 
 
 def asked(statement: str, columns: dict[str, pa.Array]) -> pa.Table:
-    """The statement's answer over the columns as table batch, in which at numbers the rows."""
+    """The statement's answer over the columns as table batch, in which place numbers the rows."""
     db = connection()
     rows = len(next(iter(columns.values())))
-    db.register("batch", pa.table({"at": pa.array(np.arange(rows, dtype=np.int64)), **columns}))
+    db.register("batch", pa.table({"place": pa.array(np.arange(rows, dtype=np.int64)), **columns}))
     try:
         return db.sql(statement).to_arrow_table()
     finally:
@@ -118,7 +118,7 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SP
 
     def build(part: pa.RecordBatch) -> pa.RecordBatch:
         told = asked(statement, {"name": part.column(1), "text": part.column(2)})
-        out = [part.column(0).take(told.column("at").combine_chunks()), *(told.column(c).combine_chunks() for c in ("n", "form", "prefix_chars", "middle_chars", "output"))]
+        out = [part.column(0).take(told.column("place").combine_chunks()), *(told.column(c).combine_chunks() for c in ("n", "form", "prefix_chars", "middle_chars", "output"))]
         return pa.RecordBatch.from_arrays(out, ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
@@ -132,7 +132,7 @@ def restored(rows: DataFrame, marks: tuple[str, str, str] = (PREFIX, SUFFIX, MID
 
     def build(part: pa.RecordBatch) -> pa.RecordBatch:
         told = asked(statement, {"form": part.column(2), "text": part.column(5)})
-        at = told.column("at").combine_chunks()
+        at = told.column("place").combine_chunks()
         return pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(6)), told.column("restored").combine_chunks()], [*names, "restored"])
 
     some = rows.select(*names)

@@ -58,7 +58,6 @@ def held(pieces, docs, ids, capacity):
             some = {k for k in wanted if len(k) == p["doc_tokens"] and zlib.crc32(array("I", k[p["start"] : p["start"] + p["length"]]).tobytes()) == p["ids_crc32"]}
             assert some
             found[p["doc_tokens"]] += p["length"]
-        assert found == Counter({k: v for k, v in ((len(k), len(k) * c) for k, c in wanted.items())}) or n > 1
         assert sum(found.values()) == sum(len(k) * c for k, c in wanted.items())
         if n == 1:
             at = 0
@@ -88,7 +87,7 @@ def test_repeated_runs_agree_and_alike_documents_meet(spark):
     rows = [(i, " ".join(rng.choice(topics[i % 3].split(), 60))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     first, second = (sorted(map(tuple, cv.pack_documents(df.repartition(n), WORD_BPE, capacity=512).collect())) for n in (1, 5))
-    assert [x[:5] for x in first] == [x[:5] for x in second] or sorted(x[0] for x in first)  # ranges may differ with the layout
+    assert sum(x[2] for x in first) == sum(x[2] for x in second)  # ranges, and so cuts, may differ with the layout
     same = total = 0
     by_sequence = defaultdict(set)
     for doc, _, _, _, _, sequence, _ in first:
@@ -103,8 +102,12 @@ def test_repeated_runs_agree_and_alike_documents_meet(spark):
 def test_copies_spread_over_ranges_and_text_ids(spark):
     df = spark.createDataFrame([(f"d{i}", "the same text again") for i in range(400)], "doc_id string, text string")
     rows = cv.ordered(cv.keyed(df, WORD_BPE))
-    parts = rows.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
-    assert len(parts) > 1 or rows.rdd.getNumPartitions() == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in rows.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 200
     pieces = cv.packed(rows, False).collect()
     assert sum(p["length"] for p in pieces) == 400 * 5
 
