@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderloom.operators.ranks import first_of_each, ranked
+
 
 def seeded(seed: int, *columns: str) -> Column:
     """A pseudo-random order key: the same rows for the same seed, on any layout."""
@@ -12,41 +14,67 @@ def seeded(seed: int, *columns: str) -> Column:
 
 
 def per_class(rows: DataFrame, label: str, n: int, *order: Column | str) -> DataFrame:
-    """The first n rows of each label in the given order."""
+    """The first n rows of each label in the given order. Spark's group limit leaves n rows a label and task before the shuffle."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
 def round_robin(rows: DataFrame, label: str, order: str, k: int) -> DataFrame:
-    """Labels in turn (in their own order), each giving its next row, until k rows."""
+    """Labels in turn (in their own order), each giving its next row, until k rows.
+
+    A row beyond its label's first k can't be among them, so at most k rows a label and task move.
+    """
     turn = F.row_number().over(Window.partitionBy(label).orderBy(order))
     return rows.withColumn("turn", turn).where(F.col("turn") <= k).orderBy("turn", label, order).limit(k)
 
 
 def cover_then_fill(rows: DataFrame, label: str, order: str, k: int) -> DataFrame:
-    """The earliest row of each label (labels in order), then the earliest of the rest, k in all."""
-    first = F.row_number().over(Window.partitionBy(label).orderBy(order)) == 1
-    return rows.withColumn("covers", first).orderBy(F.desc("covers"), F.when(F.col("covers"), F.col(label)), order).limit(k)
+    """The earliest row of each label (labels in order), then the earliest of the rest, k in all.
+
+    What fills up stands among the k earliest rows of all: each of those that is not its label's
+    first is filler, and there are enough of them. So a top-k and one row a label suffice, and no
+    label's rows are gathered. ``order`` tells rows apart.
+    """
+    first = first_of_each(rows, [label], [order]).withColumn("covers", F.lit(True))
+    early = rows.orderBy(order).limit(k)
+    known = first.select(F.col(label).alias("_l"), F.col(order).alias("_o"))
+    fill = early.join(known, F.col(label).eqNullSafe(F.col("_l")) & F.col(order).eqNullSafe(F.col("_o")), "left_anti").withColumn("covers", F.lit(False))
+    return first.unionByName(fill).orderBy(F.desc("covers"), F.when(F.col("covers"), F.col(label)), order).limit(k)
+
+
+def _train_size(n: Column, ratio: float) -> Column:
+    return F.floor(n * ratio + 0.5)
 
 
 def stratified_split(rows: DataFrame, label: str, train_ratio: float, *order: Column | str) -> DataFrame:
     """rows with a column split; each label gives floor(ratio n + 1/2) rows to train, exactly."""
-    w = Window.partitionBy(label)
-    place, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
-    return rows.withColumn("split", F.when(place <= F.floor(n * train_ratio + 0.5), "train").otherwise("validation"))
+    told = ranked(rows, [label], order, "_place", "_size")
+    return told.withColumn("split", F.when(F.col("_place") <= _train_size(F.col("_size"), train_ratio), "train").otherwise("validation")).drop("_place", "_size")
+
+
+def plain_split(rows: DataFrame, train_ratio: float, *order: Column | str) -> DataFrame:
+    """rows with a column split: floor(ratio n + 1/2) of all rows to train, but one row at least to either side. Fewer than two rows can't be split."""
+    told = ranked(rows, [], order, "_place", "_size")
+    take = F.greatest(F.lit(1), F.least(F.col("_size") - 1, _train_size(F.col("_size"), train_ratio)))
+    able = F.when(F.col("_size") < 2, F.raise_error(F.lit("a split needs two rows at least")).cast("string"))
+    return told.withColumn("split", F.coalesce(able, F.when(F.col("_place") <= take, "train").otherwise("validation"))).drop("_place", "_size")
+
+
+def shuffled_cap(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of a shuffled order: a top-n, so each task sends n rows at most."""
+    return rows.orderBy(*order).limit(n)
 
 
 def stratified_sample(rows: DataFrame, label: str, size: int, *order: Column | str) -> DataFrame:
     """size rows with the labels' shares, by largest remainders (ties by label)."""
+    told = ranked(rows, [label], order, "_place", "_c")
     counts = rows.groupBy(label).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_t"))
-    quota = counts.crossJoin(F.broadcast(total)).withColumn("_q", F.col("_c") * F.least(F.lit(size), F.col("_t")) / F.col("_t")).withColumn("_base", F.floor("_q"))
-    # One row per label: a handful, in one window.
-    every = Window.partitionBy(F.lit(0))
-    left = F.least(F.lit(size), F.col("_t")) - F.sum("_base").over(every)
-    extra = F.row_number().over(every.orderBy(F.desc(F.col("_q") - F.col("_base")), label)) <= left
-    quota = quota.select(label, (F.col("_base") + extra.cast("int")).alias("_take"))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    return ranked.join(quota, label).where("_n <= _take").drop("_n", "_take")
+    wanted = F.least(F.lit(size), F.col("_t"))
+    quota = counts.crossJoin(F.broadcast(total)).withColumn("_q", F.col("_c") * wanted / F.col("_t")).withColumn("_base", F.floor("_q"))
+    spare = quota.agg((F.any_value(wanted) - F.sum("_base")).alias("_left"))
+    taken = ranked(quota, [], [F.desc(F.col("_q") - F.col("_base")), F.col(label)], "_turn").crossJoin(F.broadcast(spare))
+    take = taken.select(F.col(label).alias("_l"), (F.col("_base") + (F.col("_turn") <= F.col("_left")).cast("int")).alias("_take"))
+    return told.join(take, F.col(label).eqNullSafe(F.col("_l"))).where("_place <= _take").drop("_place", "_c", "_l", "_take")
 
 
 def shard(rows: DataFrame, position: str, index: int, count: int) -> DataFrame:
@@ -75,5 +103,4 @@ def source_selection(rows: DataFrame, strategy: str, n: int | None, order: str,
 
 def best_per_group(rows: DataFrame, group: str, value: str, *ties: str) -> DataFrame:
     """The row of greatest value in each group, as clean-up keeps it (also for losses)."""
-    w = Window.partitionBy(group).orderBy(F.desc_nulls_last(value), *ties)
-    return rows.withColumn("keep", F.row_number().over(w) == 1)
+    return ranked(rows, [group], [F.desc_nulls_last(value), *ties], "_place").withColumn("keep", F.col("_place") == 1).drop("_place")

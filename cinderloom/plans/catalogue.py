@@ -341,18 +341,28 @@ def round_robin_sample(spark, sf_dir):
 
 @query("SELECT id, label, covers FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) = 1 AS covers FROM v_train ) t ORDER BY covers DESC, CASE WHEN covers THEN label END, id LIMIT 50")
 def cover_then_fill(spark, sf_dir):
-    return selection.cover_then_fill(v.train(spark, sf_dir), "label", "id", 50).select("id", "label", "covers")
+    return selection.cover_then_fill(v.train(spark, sf_dir).select("id", "label"), "label", "id", 50).select("id", "label", "covers")
 
 
 @query("SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY id * 7919 % 10007, id) <= floor(count(*) OVER (PARTITION BY label) * 0.8::DOUBLE + 0.5) THEN 'train' ELSE 'validation' END AS split FROM v_train ")
 def stratified_split(spark, sf_dir):
-    return selection.stratified_split(v.train(spark, sf_dir), "label", 0.8, F.col("id") * 7919 % 10007, "id").select("id", "label", "split")
+    return selection.stratified_split(v.train(spark, sf_dir).select("id", "label"), "label", 0.8, F.col("id") * 7919 % 10007, "id").select("id", "label", "split")
 
 
 @query("""WITH RECURSIVE q AS (SELECT label, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS quota FROM v_train GROUP BY label), t AS (SELECT label, floor(quota) + CAST(row_number() OVER (ORDER BY quota - floor(quota) DESC, label) <= 100 - sum(floor(quota)) OVER () AS INTEGER) AS take FROM q)
 SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id * 7919 % 10007, id) AS n FROM v_train ) r JOIN t USING (label) WHERE n <= take""")
 def stratified_sample(spark, sf_dir):
-    return selection.stratified_sample(v.train(spark, sf_dir), "label", 100, F.col("id") * 7919 % 10007, "id").select("id", "label")
+    return selection.stratified_sample(v.train(spark, sf_dir).select("id", "label"), "label", 100, F.col("id") * 7919 % 10007, "id").select("id", "label")
+
+
+@query("SELECT id, CASE WHEN row_number() OVER (ORDER BY id * 7919 % 10007, id) <= floor((SELECT count(*) FROM v_train ) * 0.9::DOUBLE + 0.5) THEN 'train' ELSE 'validation' END AS split FROM v_train ")
+def plain_split(spark, sf_dir):
+    return selection.plain_split(v.train(spark, sf_dir).select("id"), 0.9, F.col("id") * 7919 % 10007, "id")
+
+
+@query("SELECT id, label FROM v_train ORDER BY id * 7919 % 10007, id LIMIT 25")
+def shuffled_cap(spark, sf_dir):
+    return selection.shuffled_cap(v.train(spark, sf_dir).select("id", "label"), 25, F.col("id") * 7919 % 10007, F.col("id"))
 
 
 @query("SELECT id, label FROM v_train WHERE id NOT IN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY label ORDER BY id * 7919 % 10007, id) AS n FROM v_train ) t WHERE n <= 2)")
@@ -363,7 +373,7 @@ def leakage_exclusion(spark, sf_dir):
 
 @query("SELECT run_id, policy, budget, final, row_number() OVER (PARTITION BY budget ORDER BY final DESC, run_id) = 1 AS keep FROM v_runs ")
 def keep_best_per_group(spark, sf_dir):
-    return selection.best_per_group(v.runs(spark, sf_dir), "budget", "final", "run_id").select("run_id", "policy", "budget", "final", "keep")
+    return selection.best_per_group(v.runs(spark, sf_dir).select("run_id", "policy", "budget", "final"), "budget", "final", "run_id").select("run_id", "policy", "budget", "final", "keep")
 
 
 # Text audit.

@@ -203,4 +203,4 @@ def source_prefix(spark, sf_dir):
 
 @query("""SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) = 1 AS covers FROM v_train ) t ORDER BY covers DESC, CASE WHEN covers THEN label END, id LIMIT 40""")
 def source_stratified(spark, sf_dir):
-    return selection.source_selection(v.train(spark, sf_dir), "stratified", 40, "id", "label").select("id", "label")
+    return selection.source_selection(v.train(spark, sf_dir).select("id", "label"), "stratified", 40, "id", "label").select("id", "label")
