@@ -73,6 +73,17 @@ def shingles(tokens: Column, width: int = 5) -> Column:
     return F.transform(F.array(tokens), of)[0]
 
 
+def hashed_shingles(tokens: Column, width: int = 5) -> Column:
+    """The same sets as 64-bit hashes, in order: a word's hash, and the hash of the hashes of ``width`` words."""
+
+    def of(h: Column) -> Column:
+        n = F.size(h)
+        grams = F.transform(F.slice(h, 1, F.greatest(n - width + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, width)]))
+        return F.array_distinct(F.when(n <= width, h).otherwise(grams))
+
+    return F.sort_array(F.transform(F.array(F.transform(tokens, lambda w: F.xxhash64(w))), of)[0])
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """0 if either set is empty."""
     both = F.size(F.array_intersect(left, right))

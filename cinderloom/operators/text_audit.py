@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderloom.functions.scalars import audit_text, audit_tokens, lenient_double, shingles
+from cinderloom.functions.scalars import audit_text, audit_tokens, hashed_shingles, lenient_double, shingles
+from cinderloom.sources.staging import staged
 
 
 def is_synthetic(source_split: Column, origin_cycle: Column) -> Column:
@@ -15,10 +16,14 @@ def is_synthetic(source_split: Column, origin_cycle: Column) -> Column:
 
 
 def exact_duplicates(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """rows with seen_before: whether the normalised text stands in an earlier row (empty texts never do)."""
-    norm = audit_text(F.col(text))
-    w = Window.partitionBy("norm").orderBy(order)
-    return rows.withColumn("norm", norm).withColumn("seen_before", (F.col("norm") != "") & (F.row_number().over(w) > 1))
+    """rows with seen_before: whether the normalised text stands in an earlier row (empty texts never do).
+
+    ``order`` tells rows apart. The earliest row of each text is a partial aggregate over the
+    text's digest, joined back: no task gathers the copies of a common text.
+    """
+    marked = rows.withColumn("norm", audit_text(F.col(text))).withColumn("_d", F.sha2("norm", 256))
+    first = marked.where("norm <> ''").groupBy("_d").agg(F.min(order).alias("_first"))
+    return marked.join(first, "_d", "left").withColumn("seen_before", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_d", "_first")
 
 
 def exact_duplicate_rate(rows: DataFrame, text: str) -> DataFrame:
@@ -64,11 +69,86 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame, key: str, text: str,
     return both.withColumn("similarity", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+#: A shingle of more classes than this is common: it comes last in the order of shingles, and its classes meet in steps.
+COMMON = 32
+
+
+def _sets(synthetic: DataFrame, seeds: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows with their hashed shingle sets in order, in one scan of either side: id (null for seeds), s, n, and two hashes of the whole set."""
+    hashed = lambda df, own: df.select(F.when(F.lit(own), F.col(key)).alias("id"), F.lit(own).alias("own"), hashed_shingles(audit_tokens(F.col(text))).alias("s"))
+    rows = hashed(synthetic, True).unionAll(hashed(seeds, False))
+    return staged(rows.select("id", "own", "s", F.size("s").alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), F.reverse("s")).alias("h2")))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """Classes of equal sets: cid, h1, h2, n, s, first (earliest synthetic row), seed (whether a seed is among them). The copies of a text meet as one row a task."""
+    same = rows.where("n > 0").groupBy("h1", "h2", "n")
+    return staged(same.agg(F.min("id").alias("first"), F.bool_or(~F.col("own")).alias("seed"), F.any_value("s").alias("s")).withColumn("cid", F.monotonically_increasing_id()))
+
+
+def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(g, at, common) of the shingles of each class of which two similar classes share one: the first n - ceil(t n) + 1, common ones last."""
+    grams = classes.select("cid", "n", F.explode("s").alias("g"))
+    common = staged(grams.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") > COMMON).select("g"))
+    none = F.array().cast("array<bigint>")
+    if common.isEmpty():
+        rows = classes.withColumn("often", none)
+    else:
+        own = grams.join(common, "g", "left_semi").groupBy("cid").agg(F.array_sort(F.collect_list("g")).alias("often"))
+        rows = classes.join(own, "cid", "left").withColumn("often", F.coalesce("often", none))
+    rare = F.when(F.size("often") > 0, F.array_except("s", "often")).otherwise(F.col("s"))
+    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    placed = rows.select("cid", "n", "first", "seed", rare.alias("rare"), "often", length.alias("p"))
+    some = placed.select("cid", "n", "first", "seed", F.size("rare").alias("r"), F.posexplode(F.slice(F.concat("rare", "often"), 1, F.col("p"))).alias("at", "g"))
+    return staged(some.select("cid", "n", "first", "seed", "g", "at", (F.col("at") >= F.col("r")).alias("common")))
+
+
+def near_duplicates(synthetic: DataFrame, seeds: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
+    """id and near of each synthetic row: whether a seed or an earlier synthetic row (by ``key``, unique) is so similar. Exact copies are; a row without words is not.
+
+    Equal shingle sets are one class, so copies never meet as pairs: all of a class but its
+    first row are settled by that one, and all of a class with a seed by the seed. Only first rows
+    look for a witness, among classes that share a shingle of a short prefix, and one hit is
+    enough. Prefixes hold few common shingles, as those come last; for those that do, the earliest
+    class is tried before any others, and only rows still open meet the rest.
+    """
+    every = _sets(synthetic, seeds, key, text)
+    classes = _classes(every)
+    entries = _prefixes(classes, threshold)
+    sets = classes.select("cid", "s")
+
+    def witnessed(pairs: DataFrame) -> DataFrame:
+        """Classes x of the pairs that have a similar y."""
+        both = pairs.select("x", "y").distinct().join(sets.select(F.col("cid").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("cid").alias("y"), F.col("s").alias("sy")), "y")
+        shared = F.size(F.array_intersect("sx", "sy"))
+        return both.where(shared >= threshold * (F.size("sx") + F.size("sy") - shared) - 1e-12).select("x").distinct()
+
+    x = entries.where("first is not null and not seed").select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("first").alias("fx"), "g", F.col("at").alias("ax"), "common")
+    y = entries.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("first").alias("fy"), "seed", "g", F.col("at").alias("ay"), "common")
+    earlier = (F.col("x") != F.col("y")) & (F.col("seed") | (F.col("fy") < F.col("fx")))
+    sizes = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9
+    # Of the first shingle that both prefixes share: what stands behind it bounds what the sets share.
+    reach = 1 + F.least(F.col("nx") - F.col("ax") - 1, F.col("ny") - F.col("ay") - 1) >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-9
+    could = earlier & sizes & reach
+    found = staged(witnessed(x.where("not common").drop("common").join(y.where("not common").drop("common"), "g").where(could)))
+    often = x.where("common").drop("common")
+    if not often.isEmpty():
+        kept = y.where("common").drop("common")
+        rank = F.struct((~F.col("seed")).alias("late"), F.coalesce("fy", F.col("y")).alias("f"), "y")
+        lead = kept.groupBy("g").agg(F.min_by(F.struct("y", "ny", "fy", "seed", "ay"), rank).alias("l")).select("g", "l.*")
+        open_ = often.join(found, "x", "left_anti")
+        found = staged(found.unionAll(witnessed(open_.join(lead, "g").where(could))))
+        found = staged(found.unionAll(witnessed(often.join(found, "x", "left_anti").join(kept, "g").where(could))))
+    near = classes.join(found.withColumnRenamed("x", "cid").withColumn("hit", F.lit(True)), "cid", "left").select("h1", "h2", "n", "first", "seed", F.coalesce("hit", F.lit(False)).alias("hit"))
+    rows = every.where("own").select("id", "h1", "h2", "n")
+    told = rows.join(near, ["h1", "h2", "n"], "left")
+    return told.select("id", F.coalesce(F.col("seed") | (F.col("id") > F.col("first")) | F.col("hit"), F.lit(False)).alias("near"))
+
+
 def near_duplicate_rate(synthetic: DataFrame, seeds: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
     """Share of synthetic rows near a seed or an earlier synthetic row; exact copies count as near."""
-    pairs = near_duplicate_pairs(synthetic, seeds, key, text, threshold).unionByName(near_duplicate_pairs(synthetic, synthetic, key, text, threshold, ordered=True))
-    found, total = pairs.agg(F.count_distinct("a").alias("n_near")), synthetic.agg(F.count("*").alias("n_rows"))
-    return found.crossJoin(F.broadcast(total)).withColumn("rate", F.try_divide("n_near", "n_rows"))
+    told = near_duplicates(synthetic, seeds, key, text, threshold)
+    return told.agg(F.count_if("near").alias("n_near"), F.count("*").alias("n_rows")).withColumn("rate", F.try_divide("n_near", "n_rows"))
 
 
 def label_histogram(rows: DataFrame, label: str, synthetic: str, cycle: str) -> DataFrame:

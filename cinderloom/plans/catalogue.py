@@ -426,6 +426,12 @@ def near_duplicate_rate(spark, sf_dir):
     return text_audit.near_duplicate_rate(t.where("source_split = 'augmented'"), t.where("source_split = 'train'"), "id", "text").select("n_near", "n_rows", *r6("rate"))
 
 
+@query("SELECT t.id, t.id IN (SELECT a FROM v_near ) AS near FROM v_train t WHERE source_split = 'augmented'")
+def near_duplicate_flags(spark, sf_dir):
+    t = v.train(spark, sf_dir)
+    return text_audit.near_duplicates(t.where("source_split = 'augmented'"), t.where("source_split = 'train'"), "id", "text")
+
+
 HIST = """SELECT origin, cycle, label, n, round(n / sum(n) OVER (PARTITION BY origin, cycle), 6) AS share FROM (
   SELECT CASE WHEN source_split = 'augmented' THEN 'synthetic' ELSE 'seed' END AS origin, 'all' AS cycle, label, count(*) AS n FROM v_train GROUP BY 1, 2, 3 UNION ALL SELECT 'all', 'all', label, count(*) FROM v_train GROUP BY 3
   UNION ALL SELECT 'synthetic', CAST(origin_cycle AS VARCHAR), label, count(*) FROM v_train WHERE source_split = 'augmented' GROUP BY 2, 3) t"""
