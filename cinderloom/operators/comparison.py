@@ -7,11 +7,14 @@ import random
 import statistics
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderloom.functions.scalars import improvement
+from cinderloom.operators.ranks import ranked
 
 
 def mean_std(value: str, name: str) -> list[Column]:
@@ -97,7 +100,7 @@ def bootstrap_exact(values: Column, confidence: float = 0.95) -> Column:
 
 
 def bootstrap_sampled(rows: DataFrame, keys: list[str], value: str, order: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
-    """Interval from seeded resamples, for groups too large to enumerate; the values in ``order`` seed the generator."""
+    """Interval from seeded resamples of groups that fit a task, drawn value by value; the values in ``order`` seed the generator. ``bootstrap_interval`` is for groups of any size."""
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         values = part.sort_values(order)[value].dropna().tolist()
@@ -113,6 +116,83 @@ def bootstrap_sampled(rows: DataFrame, keys: list[str], value: str, order: str,
     return some.groupBy(*keys).applyInPandas(one, f"{schema}, n long, ci_low double, ci_high double")
 
 
+#: Values of a resampling chunk; draws that a task holds at once.
+CHUNK, DRAWS = 4096, 1 << 21
+
+
+def _draws(seed: int, node: str):
+    """The generator of one node of a group's tree: the same in every task that passes it."""
+    return np.random.default_rng(int.from_bytes(sha256(f"{seed}/{node}".encode()).digest()[:16], "big"))
+
+
+def chunk_draws(seed: int, n: int, chunk: int, resamples: int, size: int = CHUNK) -> np.ndarray:
+    """How many of the n draws of each resample fall on this chunk of a group of n values.
+
+    The counts of all chunks are multinomial. They are drawn top down: a node of a binary tree over
+    chunks passes a binomial part of its draws to its left half, by the share of values there. A
+    chunk follows only its own path, and chunks that share a node draw the same number for it.
+    """
+    lo, hi, left = 0, -(-n // size), np.full(resamples, n, np.int64)
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        values, on_left = min(hi * size, n) - lo * size, (middle - lo) * size
+        some = _draws(seed, f"{lo}-{hi}").binomial(left, on_left / values)
+        if chunk < middle:
+            hi, left = middle, some
+        else:
+            lo, left = middle, left - some
+    return left
+
+
+def chunk_sums(seed: int, n: int, chunk: int, values: np.ndarray, resamples: int, size: int = CHUNK) -> np.ndarray:
+    """This chunk's part of the sum of each resample."""
+    counts, rng, out = chunk_draws(seed, n, chunk, resamples, size), _draws(seed, f"chunk {chunk}"), np.zeros(resamples)
+    ends = np.cumsum(counts)
+    lo = 0
+    while lo < resamples:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + DRAWS, "right")))
+        some = counts[lo:hi]
+        drawn = values[rng.integers(0, len(values), int(some.sum()))]
+        which = np.flatnonzero(some)
+        if len(which):
+            out[lo + which] = np.add.reduceat(drawn, np.append(0, np.cumsum(some[which])[:-1]))
+        lo = hi
+    return out
+
+
+def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, *order: str, resamples: int = 10_000, confidence: float = 0.95, seed: int = 0, exact: int = 6, chunk: int = CHUNK) -> DataFrame:
+    """Percentile interval of the mean of every group: keys, n, method (point, exact, sampled), ci_low, ci_high. Null values are left out.
+
+    Up to ``exact`` values all resamples are listed. Larger groups are cut into chunks of ``chunk``
+    values by their exact places in ``order`` (which tells rows apart); a chunk draws its share of
+    every resample, and the chunks' sums add up, so no task sees a whole group and what is gathered
+    of a group is one number a resample. The interval depends on the rows and the seed, not on the
+    layout.
+    """
+    some = rows.where(F.col(value).isNotNull()).select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(value).cast("double").alias("_v"))
+    placed = ranked(some, keys, [*[f"_o{i}" for i in range(len(order))], "_v"], "_place", "_size")
+    few = placed.where(F.col("_size") <= exact).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_v"))), lambda x: x["_v"]).alias("_d")).where(F.size("_d") > 0)
+    listed = few.select(*keys, F.size("_d").cast("bigint").alias("n"), F.when(F.size("_d") == 1, "point").otherwise("exact").alias("method"), bootstrap_exact(F.col("_d"), confidence).alias("_ci"))
+    # A group's own generator: by its keys.
+    name = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *[F.col(k).isNull() for k in keys])
+    large = placed.where(F.col("_size") > exact).select(*keys, name.alias("_g"), "_size", F.floor((F.col("_place") - 1) / chunk).cast("bigint").alias("_c"), "_place", "_v")
+
+    def sums(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_place")
+        g, n, c = (table.column(x)[0].as_py() for x in ("_g", "_size", "_c"))
+        out = chunk_sums(g, n, c, table.column("_v").to_numpy(), resamples, chunk)
+        kept = [table.column(k).combine_chunks().take(pa.array([0])) for k in keys]
+        return pa.table([*kept, pa.array([n]), pa.array([out.tolist()], pa.list_(pa.float64()))], [*keys, "_size", "_s"])
+
+    schema = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    parts = large.groupBy(*keys, "_g", "_size", "_c").applyInArrow(sums, f"{schema}_size bigint, _s array<double>")
+    means = parts.select(*keys, "_size", F.posexplode("_s").alias("_r", "_x")).groupBy(*keys, "_size", "_r").agg((F.sum("_x") / F.col("_size")).alias("_m"))
+    ordered = means.groupBy(*keys, "_size").agg(F.sort_array(F.collect_list("_m")).alias("_m"))
+    alpha = (1 - confidence) / 2
+    drawn = ordered.select(*keys, F.col("_size").alias("n"), F.lit("sampled").alias("method"), F.struct(percentile_of(F.col("_m"), alpha).alias("low"), percentile_of(F.col("_m"), 1 - alpha).alias("high")).alias("_ci"))
+    return listed.unionByName(drawn).select(*keys, "n", "method", F.col("_ci.low").alias("ci_low"), F.col("_ci.high").alias("ci_high"))
+
+
 def oracle_frontier(runs: DataFrame, keys: list[str], value: str, fixed: Column, mode: str = "max") -> DataFrame:
     """Each run beside the best fixed run of its group (ties: first run id) and its distance to it."""
     sign = 1 if mode == "max" else -1

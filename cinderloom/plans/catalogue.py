@@ -136,8 +136,13 @@ def bootstrap_ci_exact(spark, sf_dir):
 
 @query()
 def bootstrap_ci_sampled(spark, sf_dir):
-    rows = _cell_deltas(spark, sf_dir).withColumnRenamed("baseline_run", "ord")
-    return cmp.bootstrap_sampled(rows, ["subset", "baseline_policy"], "delta", "ord")
+    return cmp.bootstrap_interval(_cell_deltas(spark, sf_dir), ["subset", "baseline_policy"], "delta", "baseline_run")
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    # Every group of the keys of bootstrap_ci_exact, by listing where that is possible and by sampling elsewhere.
+    return cmp.bootstrap_interval(_cell_deltas(spark, sf_dir), ["subset", "baseline_policy", "budget"], "delta", "baseline_run")
 
 
 @query("""WITH RECURSIVE best AS (SELECT dataset, subset, seed, budget, max(final) AS top, arg_max(policy, struct_pack(f := final, r := -run_id)) AS pol FROM v_runs WHERE policy IN ('2-HIGH', '3-MEDIUM') AND control = '' GROUP BY 1, 2, 3, 4)
@@ -584,6 +589,13 @@ def ledger_stream(spark, sf_dir):
     return live.drained(spark, sf_dir).select("run_id", F.round("spent", 4).alias("spent"), "attempts")
 
 
+@query("SELECT run_id, min(CASE WHEN spent >= 1200 THEN ord END) AS stop_at, round(max(spent), 4) AS spent, count(*) AS attempts FROM (SELECT run_id, ord, sum(coalesce(ledger, 0)) OVER (PARTITION BY run_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS spent FROM v_attempts ) t GROUP BY 1")
+def budget_stop_stream(spark, sf_dir):
+    from cinderloom.streaming import budget
+
+    return budget.drained(spark, sf_dir, 1200.0).select("run_id", "stop_at", F.round("spent", 4).alias("spent"), "attempts")
+
+
 _WINS = """SELECT b.policy, count(*) AS n, count(*) FILTER (s.final > b.final) AS wins FROM v_cells s JOIN v_cells b ON s.policy = '1-URGENT' AND b.policy IN ('2-HIGH', '5-LOW') AND s.dataset = b.dataset AND s.subset = b.subset AND s.seed = b.seed AND s.budget = b.budget GROUP BY 1"""
 
 

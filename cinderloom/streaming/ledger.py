@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderloom.plans import bindings
+from cinderloom.sources.staging import new_folder
 
 
 def running_ledger(attempts: DataFrame) -> DataFrame:
@@ -25,14 +23,16 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("attempt_id"), F.when(~kind.isin("signup"), F.col("value")).alias("ledger"))
 
 
+def attempt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events file as a stream of run_id, attempt_id, ord, tokens and ts."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("attempt_id"), F.col("event_id").alias("ord"), F.when(~F.col("event_type").isin("signup"), F.col("value")).alias("tokens"), "ts")
+
+
 def drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger after all that is there now has streamed through (``availableNow``)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.gettempdir()
-    place = f"{root.rstrip('/')}/ledger_{uuid.uuid4().hex[:12]}"
+    place = new_folder(spark, "stream")
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{place}/{batch}")
