@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import json
-import platform
-import subprocess
 from hashlib import sha256
-from importlib.metadata import PackageNotFoundError, version
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -30,23 +27,18 @@ def canonical_labels_document(labels: list[str], field: str) -> dict:
     return {"field": field, "labels": seen, "sha256": stable_json_sha256(seen)}
 
 
-def run_manifest(config: dict, status: str, error: str | None = None, artifact_dir: str | None = None) -> dict:
-    """What a run was made with: configuration, environment, packages and the state of the source tree."""
+def run_manifest(config: dict, status: str, error: str | None = None, artifact_dir: str | None = None, package: str = ".") -> dict:
+    """What a run was made with, in the sections that the provenance audit reads, and the digests of the files beside it."""
+    import yaml
 
-    def package(name: str) -> str | None:
-        try:
-            return version(name)
-        except PackageNotFoundError:
-            return None
-
-    def git(*args: str) -> str | None:
-        done = subprocess.run(["git", *args], capture_output=True, text=True, check=False)
-        return done.stdout.strip() if done.returncode == 0 else None
+    from cinderloom.operators import recording
+    from cinderloom.operators.config import from_dict
 
+    text = yaml.safe_dump(config, sort_keys=True)
     files = {p.name: sha256(p.read_bytes()).hexdigest() for p in sorted(Path(artifact_dir).iterdir()) if p.is_file()} if artifact_dir else {}
     return {
-        "schema_version": 1, "status": status, "error": error, "config": config, "config_hash": stable_json_sha256(config, 16),
-        "reproducibility": {"runtime": {"python": platform.python_version(), "packages": {n: package(n) for n in ("pyspark", "pyarrow", "pandas", "numpy")}}, "source_control": {"head_sha": git("rev-parse", "HEAD"), "is_dirty": bool(git("status", "--porcelain"))}, "files": files},
+        "schema_version": recording.SCHEMA_VERSION, "status": status, "error": error, "config": config, "config_hash": recording.config_digest(text), "files": files,
+        "reproducibility": recording.reproducibility(from_dict({"name": "run"} | config), text, package),
     }
 
 
