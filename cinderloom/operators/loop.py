@@ -117,11 +117,20 @@ def run(config: Experiment, train: DataFrame, evaluation: DataFrame, student: St
         if choice.action == "STOP":
             out.stop_cause = "policy"
             break
+        attempt = {"attempt_id": f"{config.name}:c{cycle}:a{len(out.attempts)}", "decision_id": decision, "cycle": cycle, "predicted": choice.cost, "before": remaining}
+        if remaining is not None and choice.cost > remaining:
+            # Admission: a call whose bound does not fit is not made, and costs nothing.
+            out.attempts.append(attempt | {"status": "masked", "ledger": 0, "after": remaining})
+            continue
         wrong = student.predict(model, rows).where("pred <> `true`")
         new, tokens = teacher(wrong, int(choice.action.rsplit("b", 1)[1]))
-        status = "empty_response" if new.isEmpty() else "success"
-        out.attempts.append({"attempt_id": f"{config.name}:c{cycle}:a{len(out.attempts)}", "decision_id": decision, "cycle": cycle, "status": status, "predicted": choice.cost, "ledger": tokens, "before": remaining, "after": None if remaining is None else remaining - tokens})
+        status = "budget_violation" if tokens > choice.cost else "empty_response" if new.isEmpty() else "success"
+        out.attempts.append(attempt | {"status": status, "ledger": tokens, "after": None if remaining is None else remaining - tokens})
         out.spent += tokens
+        if status == "budget_violation":
+            # What was spent is charged, but rows of a call that broke its bound are not taken.
+            out.stop_cause = "budget_violation"
+            break
         snapshot = f"{workdir.rstrip('/')}/{config.name}/dataset_cycle_{cycle + 1}"
         union_synthetic(rows, new).write.mode("overwrite").parquet(snapshot)
         rows = spark.read.parquet(snapshot)

@@ -204,3 +204,32 @@ def source_prefix(spark, sf_dir):
 @query("""SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) = 1 AS covers FROM v_train ) t ORDER BY covers DESC, CASE WHEN covers THEN label END, id LIMIT 40""")
 def source_stratified(spark, sf_dir):
     return selection.source_selection(v.train(spark, sf_dir).select("id", "label"), "stratified", 40, "id", "label").select("id", "label")
+
+
+# Teacher calls.
+
+
+def length_teacher():
+    """A fixed teacher for the query: its usage follows from the prompt's length."""
+    from cinderloom.operators.teaching import Reply
+
+    async def call(prompt: str) -> Reply:
+        n = len(prompt)
+        return Reply("kept" if n % 3 else "refused", max(1, n // 3), n % 64, max(1, n // 3) + n % 64)
+
+    return call
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, length(text) AS n, greatest(1, length(text) // 3) + 64 AS bound, greatest(1, length(text) // 3) + length(text) % 64 AS paid FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT *, (SELECT sum(bound) // 2 FROM d) AS budget, sum(paid) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - paid AS spent FROM d),
+  m AS (SELECT *, max(CAST(spent + bound > budget AS INTEGER)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS stopped, sum(CAST(spent + bound > budget AS INTEGER)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS nth FROM s)
+SELECT doc_id, CASE WHEN stopped = 1 THEN 'masked' ELSE 'success' END AS status, CAST(CASE WHEN stopped = 1 THEN 0 ELSE paid END AS BIGINT) AS ledger, stopped = 0 AND n % 3 <> 0 AS accepted, CAST(budget - spent AS BIGINT) AS before, CAST(budget - spent - CASE WHEN stopped = 1 THEN 0 ELSE paid END AS BIGINT) AS after
+FROM m WHERE stopped = 0 OR (nth = 1 AND spent + bound > budget)""")
+def teacher_leases(spark, sf_dir):
+    from cinderloom.operators import teaching
+
+    rows = v.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", (fn.tokens_floor(F.length("text")) + 64).alias("bound"))
+    # The budget follows the table: half of what all calls may cost.
+    budget = rows.agg(F.expr("sum(bound) div 2")).first()[0]
+    told = teaching.taught(rows, ["doc_id"], "text", "bound", length_teacher, budget, accept=F.col("reply") == "kept")
+    return told.attempts.select("doc_id", "status", "ledger", "accepted", "before", "after")
