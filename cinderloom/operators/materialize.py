@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderloom.functions.scalars import safety_margin, tokens_floor
+from cinderloom.operators.ranks import ranked
 
 
 def ensure_origin_columns(rows: DataFrame, split: str) -> DataFrame:
@@ -40,9 +41,9 @@ def union_synthetic(train: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 
 def encoded_labels(rows: DataFrame, label: str) -> DataFrame:
-    """rows with class_id: the place of the label among all distinct ones in order. The dictionary is small and joined, not ranked in one task."""
-    names = rows.select(label).where(F.col(label).isNotNull()).distinct().agg(F.array_sort(F.collect_list(label)).alias("names"))
-    return rows.crossJoin(F.broadcast(names)).withColumn("class_id", F.when(F.col(label).isNotNull(), F.array_position("names", F.col(label)) - 1)).drop("names")
+    """rows with class_id: the place, from 0, of the label among all distinct ones in order; null for null. The dictionary is a table that is joined, of whatever size."""
+    names = ranked(rows.select(F.col(label).alias("_label")).where("_label is not null").distinct(), [], ["_label"], "_place")
+    return rows.join(names, F.col(label) == F.col("_label"), "left").withColumn("class_id", F.col("_place") - 1).drop("_label", "_place")
 
 
 def prompt_response(prompt: Column, response: Column, before: str = "### Instruction:\n", between: str = "\n\n### Response:\n") -> Column:

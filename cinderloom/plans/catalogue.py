@@ -175,9 +175,9 @@ def duplicate_groups(spark, sf_dir):
     return cmp.duplicate_groups(v.runs(spark, sf_dir), ["policy", "subset", "seed", "budget", "control"])
 
 
-@query("SELECT dataset, subset, seed, budget, count(DISTINCT control) AS action_spaces, count(*) FILTER (coalesce(control, '') = '') AS blank_runs, count(DISTINCT control) = 1 AND count(*) FILTER (coalesce(control, '') = '') = 0 AS parity FROM v_runs WHERE policy = '3-MEDIUM' GROUP BY 1, 2, 3, 4")
+@query("SELECT dataset, subset, seed, budget, count(DISTINCT control) AS action_spaces, count(*) FILTER (coalesce(control, '') = '') AS blank_runs, count(DISTINCT control) = 1 AND count(*) FILTER (coalesce(control, '') = '') = 0 AS parity FROM v_runs GROUP BY 1, 2, 3, 4")
 def action_space_parity(spark, sf_dir):
-    return cmp.action_space_parity(v.runs(spark, sf_dir).where("policy = '3-MEDIUM'"), CELL, "control")
+    return cmp.action_space_parity(v.runs(spark, sf_dir), CELL, "control")
 
 
 @query("SELECT dataset, subset, seed, budget, run_id, policy FROM (SELECT *, row_number() OVER (PARTITION BY dataset, subset, seed, budget ORDER BY -final, CASE policy WHEN '4-NOT SPECIFIED' THEN 1 WHEN '2-HIGH' THEN 2 END, run_id) AS n FROM v_runs WHERE policy IN ('4-NOT SPECIFIED', '2-HIGH')) t WHERE n = 1")
@@ -530,10 +530,10 @@ def policy_choice_fixed(spark, sf_dir):
     return policy.chosen(v.states(spark, sf_dir), "fixed_boundary").select("state_id", "action", "cost")
 
 
-@query("""SELECT state_id, round(target, 4) AS target_rate, round(actual, 4) AS actual_rate, round(target / greatest(actual, 1e-6), 3) AS pace_ratio FROM (SELECT state_id, greatest(budget - cycle * budget / greatest(cycle + greatest(1, 5 - cycle - 1), 1), 0) / greatest(1, 5 - cycle - 1) AS target, remaining / greatest(1, 5 - cycle - 1) AS actual FROM v_states WHERE remaining > 0) t""")
+@query("""SELECT state_id, round(target, 4) AS target_rate, round(actual, 4) AS actual_rate, round(target / greatest(actual, 1e-6), 3) AS pace_ratio FROM (SELECT state_id, greatest(budget - cycle * budget / greatest(cycle + greatest(1, 5 - cycle - 1), 1), 0) / greatest(1, 5 - cycle - 1) AS target, remaining / greatest(1, 5 - cycle - 1) AS actual FROM v_states ) t""")
 def policy_pacing(spark, sf_dir):
     p = policy.pace()
-    return v.states(spark, sf_dir).where("remaining > 0").select("state_id", F.round(p["target_rate"], 4).alias("target_rate"), F.round(p["actual_rate"], 4).alias("actual_rate"), F.round(p["pace_ratio"], 3).alias("pace_ratio"))
+    return v.states(spark, sf_dir).select("state_id", F.round(p["target_rate"], 4).alias("target_rate"), F.round(p["actual_rate"], 4).alias("actual_rate"), F.round(p["pace_ratio"], 3).alias("pace_ratio"))
 
 
 @query()
@@ -541,10 +541,11 @@ def random_feasible(spark, sf_dir):
     return policy.chosen(v.states(spark, sf_dir), "random_feasible", seed=7).select("state_id", "action", "cost")
 
 
-@query("SELECT action, operator, tier, batch, is_stop FROM v_actions ")
+@query("SELECT action, operator, tier, batch, is_stop, count(*) AS states FROM v_options GROUP BY 1, 2, 3, 4, 5")
 def action_space(spark, sf_dir):
-    rows = policy.with_actions(spark.range(1).select(F.lit(None).cast("double").alias("remaining")))
-    return rows.select("action", "operator", "tier", "batch", "is_stop")
+    # The actions, each with the number of states that can afford it.
+    rows = policy.feasible(policy.with_actions(v.states(spark, sf_dir)))
+    return rows.groupBy("action", "operator", "tier", "batch", "is_stop").agg(F.count("*").alias("states"))
 
 
 @query("""SELECT policy, budget, pos, 'run_policy-' || replace(policy, ' ', '_') || '_budget-' || budget AS name FROM (SELECT policy, budget, row_number() OVER (ORDER BY budget, policy) - 1 AS pos FROM (SELECT DISTINCT policy FROM v_runs ), (SELECT DISTINCT budget FROM v_runs )) t WHERE pos % 3 = 1""")

@@ -92,8 +92,9 @@ def paper_gate(spark: SparkSession, tables: dict[str, DataFrame], *, baselines=(
     if required_figures is not None:
         made = tables["figures"] if "figures" in tables else spark.createDataFrame([], "name string, bytes long")
         prefixes = spark.createDataFrame([(x,) for x in required_figures], "prefix string")
-        # Figures are a handful on either side.
-        undrawn = prefixes.join(F.broadcast(made), F.col("name").startswith(F.col("prefix")), "left_anti")
+        # The beginnings of each name, so that prefixes meet them by equality.
+        beginnings = made.where("length(name) > 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", F.lit(1), i))).alias("prefix"))
+        undrawn = prefixes.join(beginnings, "prefix", "left_anti")
         checks["paper_required_figures_present"] = any_of(undrawn, made.where(failing(F.col("bytes") > 0)), *([] if "figures" in tables else [prefixes.sparkSession.range(1)]))
     return checks
 

@@ -22,9 +22,9 @@ def lenient_values(spark, sf_dir):
     return rows.select("o_orderkey", fn.lenient_double(m).alias("number"), fn.lenient_long(m).alias("whole"), fn.truthy(m).alias("truthy"))
 
 
-@query("""SELECT vec_id, round(exp(list_sum(list_transform(embedding[1:10], lambda x: ln(greatest(abs(CAST(x AS DOUBLE)), 1e-12)))) / 10), 6) AS confidence FROM embeddings""")
+@query("""SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda x: ln(greatest(abs(CAST(x AS DOUBLE)), 1e-12)))) / len(embedding)), 6) AS confidence FROM embeddings""")
 def sequence_confidence(spark, sf_dir):
-    steps = F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double")))
+    steps = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     return v.table(spark, sf_dir, "embeddings").select("vec_id", F.round(fn.sequence_confidence(steps), 6).alias("confidence"))
 
 
@@ -164,12 +164,12 @@ def multi_root_union(spark, sf_dir):
 
 
 @query("""SELECT policy, budget, cycle, round(avg(total_tokens), 6) AS x, round(avg(value), 6) AS y FROM (SELECT r.policy, r.budget, c.cycle, sum(tokens) OVER (PARTITION BY c.run_id ORDER BY c.cycle ROWS UNBOUNDED PRECEDING) AS total_tokens, metric AS value
-  FROM v_cycles c JOIN v_runs r ON c.run_id = r.run_id) p WHERE policy IN (SELECT DISTINCT policy FROM v_runs ORDER BY policy LIMIT 3) GROUP BY 1, 2, 3""")
+  FROM v_cycles c JOIN v_runs r ON c.run_id = r.run_id) p WHERE policy IN (SELECT DISTINCT policy FROM v_runs ORDER BY policy LIMIT 6) GROUP BY 1, 2, 3""")
 def policy_curves(spark, sf_dir):
     from cinderloom.operators import quality_cost
 
     points = quality_cost.running_tokens(v.cycles(spark, sf_dir)).join(v.runs(spark, sf_dir).select("run_id", "policy", "budget"), "run_id")
-    rows = bookkeeping.policy_curves(points.select("policy", "budget", "cycle", F.col("cumulative_tokens").alias("total_tokens"), F.col("metric").alias("value")), 3)
+    rows = bookkeeping.policy_curves(points.select("policy", "budget", "cycle", F.col("cumulative_tokens").alias("total_tokens"), F.col("metric").alias("value")))
     return rows.select("policy", "budget", "cycle", *r6("x", "y"))
 
 
@@ -187,9 +187,9 @@ def agreement_counters(spark, sf_dir):
     return materialize.agreement(v.labelled(spark, sf_dir), "pred", "true").select("agree", "disagree", "n", *r6("disagreement_rate"))
 
 
-@query("""SELECT idx, CAST(arg_min(label, loss) AS INTEGER) AS pred, round(exp(-min(loss)) / sum(exp(-loss)), 6) AS conf FROM (SELECT vec_id AS idx, i - 1 AS label, CAST(embedding[i] AS DOUBLE) AS loss FROM embeddings, range(1, 11) r(i)) t GROUP BY idx""")
+@query("""SELECT idx, CAST(arg_min(label, loss) AS INTEGER) AS pred, round(exp(-min(loss)) / sum(exp(-loss)), 6) AS conf FROM (SELECT vec_id AS idx, i - 1 AS label, CAST(embedding[i] AS DOUBLE) AS loss FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) e) t GROUP BY idx""")
 def label_scores_decoded(spark, sf_dir):
-    losses = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.posexplode(F.slice("embedding", 1, 10)).alias("label", "x")).select("idx", "label", F.col("x").cast("double").alias("loss"))
+    losses = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.posexplode("embedding").alias("label", "x")).select("idx", "label", F.col("x").cast("double").alias("loss"))
     return predictions.label_scores_decoded(losses).select("idx", "pred", *r6("conf"))
 
 
