@@ -15,7 +15,7 @@ are dealt in blocks against blocks, each block pair to its own task, so no bucke
 
 Defined results: a null text is the empty text. A text of one to four words is one shingle; a
 text without words is in no class and has no links. Repeated rows are copies of each other.
-Rows with a null doc_id take no part: their class is null and they have 0 links. Similarity is
+Ids are of any type that Spark orders. Rows with a null doc_id take no part: their class is null and they have 0 links. Similarity is
 at least 0.8, the bound included. An empty table gives no rows. Further columns are ignored by
 ``links`` and kept by ``one_of_each``.
 """
@@ -128,7 +128,7 @@ def paths(s: np.ndarray, runs: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-SIGNATURE = "doc_id bigint, text_hash bigint, k1 bigint, k2 bigint, n int, sketch binary, p1 array<bigint>, p2 array<struct<prefix:bigint,path:bigint>>, p3 array<struct<prefix:bigint,path:bigint>>"
+SIGNATURE = "doc_id {kind}, text_hash bigint, k1 bigint, k2 bigint, n int, sketch binary, p1 array<bigint>, p2 array<struct<prefix:bigint,path:bigint>>, p3 array<struct<prefix:bigint,path:bigint>>"
 _LINK = pa.list_(pa.struct([("prefix", pa.int64()), ("path", pa.int64())]))
 
 
@@ -156,7 +156,7 @@ def signatures(docs: DataFrame, runs: int = RUNS) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), _LINK, _LINK)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(c, types))], ["doc_id", "text_hash", "k1", "k2", "n", "sketch", "p1", "p2", "p3"])
 
-    return map_arrow(pick(docs, doc_id="doc_id", text_hash=F.xxhash64("text"), text="text"), run, SIGNATURE)
+    return map_arrow(pick(docs, doc_id="doc_id", text_hash=F.xxhash64("text"), text="text"), run, SIGNATURE.format(kind=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def buckets(classes: DataFrame) -> DataFrame:

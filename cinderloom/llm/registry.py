@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from cinderloom.llm import bestfit, bpe, changepoints, curve_packing, fim, jaccard_join, line_dedup, lm_score, maxscore, mpeg_audio, quality, token_packing, toxicity
+from cinderloom.llm import bestfit, bpe, changepoints, curve_packing, fim, jaccard_join, line_dedup, lm_score, maxscore, mpeg_audio, pipeline, quality, token_packing, toxicity
 from cinderloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -182,7 +181,7 @@ def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_fuzzy_lines, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit, op11_change_points, op12_fill_in_middle, op13_curve_packing)}
+    return {"pipeline": pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_fuzzy_lines, op3_packed_ids, op4_cross_entropy_difference, op5_quality_resampling, op6_mpeg_audio, op7_maxscore, op8_chosen_path_join, op9_toxic_segments, op10_bounded_best_fit, op11_change_points, op12_fill_in_middle, op13_curve_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -584,3 +584,13 @@ def test_line_dedup_candidates_of_unlike_lines_stay_few(spark):
         rows = line_dedup.sketches(named, ["line"]).select("line", F.explode(line_dedup._bucket_keys()).alias("bucket")).groupBy("bucket").count()
         counts.append(rows.select(F.sum(F.col("count") - 1)).first()[0])
     assert counts[1] <= 8 * counts[0]
+
+
+def test_near_duplicates_of_text_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", words), ("a", words + " more"), ("c", words), (None, words), ("d", "other words stand here alone"), ("e", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r for r in jaccard_join.links(df).collect() if r["doc_id"]}
+    assert {k: r["group_id"] for k, r in got.items()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": None}
+    assert [got[k]["n_links"] for k in "abcd"] == [2, 2, 2, 0]
+    assert sorted(str(r["doc_id"]) for r in jaccard_join.one_of_each(df).collect()) == ["None", "a", "d", "e"]
