@@ -1,61 +1,8 @@
 """The corpus pipeline: documents through quality, toxicity, line and near-duplicate filters into packed sequences.
 
-Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and returns a
-DataFrame; all but the last return the columns of documents. ``run`` writes each stage's rows
-as Parquet to the shared folder and reads them again for the next, so a lost executor costs at
-most one stage's work.
+The stages are in ``cinderloom.llm.pipeline``; this file gives them the names that callers expect here.
 """
 
-from __future__ import annotations
+from cinderloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from cinderloom.llm import bestfit, jaccard_join, line_dedup, quality, toxicity
-from cinderloom.llm.common import table, written
-
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps."""
-    return quality.select_documents(docs, table(spark, sf_dir, "labels"))
-
-
-def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity limit."""
-    return toxicity.clean_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-
-
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one."""
-    return line_dedup.dedup_documents(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return jaccard_join.one_of_each(docs)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece with its sequence and offset."""
-    return bestfit.pack_documents(docs, WORD_BPE)
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("toxicity", toxicity_filter),
-    ("line_dedup", line_dedup_stage),
-    ("ngram_jaccard_join", near_duplicates),
-    ("best_fit_packing", packing),
-]
-
-#: Models, group finding and tokenisation are beyond SQL; tests hold the pipeline against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
