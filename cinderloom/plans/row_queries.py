@@ -233,3 +233,37 @@ def teacher_leases(spark, sf_dir):
     budget = rows.agg(F.expr("sum(bound) div 2")).first()[0]
     told = teaching.taught(rows, ["doc_id"], "text", "bound", length_teacher, budget, accept=F.col("reply") == "kept")
     return told.attempts.select("doc_id", "status", "ledger", "accepted", "before", "after")
+
+
+# Templates and generation.
+
+TEMPLATE = "Run {{ run_id }}: {% if control %}control {{ control }}{% else %}plain{% endif %}, {% for w in words %}{{ loop.index }}.{{ w | lower }};{% endfor %} {{ operator }}/{{ budget }}/{{ note | default('-') }}{% if subset == 'FRANCE' %} *{% endif %}"
+
+
+@query("""SELECT run_id, 'Run ' || run_id || ': ' || CASE WHEN control <> '' THEN 'control ' || control ELSE 'plain' END || ', ' || array_to_string(list_transform(string_split(policy, '-'), lambda w, i: CAST(i AS VARCHAR) || '.' || lower(w) || ';'), '')
+  || ' repair/' || budget || '/' || CASE WHEN seed = 1 THEN 'one' ELSE '-' END || CASE WHEN subset = 'FRANCE' THEN ' *' ELSE '' END AS prompt FROM v_runs""")
+def template_render(spark, sf_dir):
+    from cinderloom.functions import templates
+
+    rows = v.runs(spark, sf_dir).withColumn("words", F.split("policy", "-")).withColumn("note", F.when(F.col("seed") == 1, "one"))
+    # The row's budget stands over the variable of that name; the operator is a variable.
+    return rows.select("run_id", templates.rendered(rows, TEMPLATE, {"operator": "repair", "budget": "none"}).alias("prompt"))
+
+
+def first_words():
+    """A fixed model for the query: the beginning of each prompt."""
+    return lambda prompts: [p[:12] + "!" for p in prompts]
+
+
+@query("""SELECT conv_id, turn, left(text, 12) || '!' AS reply, true AS cached FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+def generation_cache_eval(spark, sf_dir):
+    from cinderloom.operators.generation import Cache, Key
+    from cinderloom.sources.staging import new_folder
+
+    turns = v.table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").select("conv_id", "turn", "text")
+    cache, key = Cache(spark, new_folder(spark, "cache")), Key(1, "first-words", "all")
+    # The even conversations first, then all of them; the third evaluation finds every reply.
+    for some in (turns.where("conv_id % 2 = 0"), turns):
+        cache.replies(some, "text", first_words, key, "turn")
+    cache.compact(key)
+    return cache.replies(turns, "text", first_words, key, "turn").select("conv_id", "turn", "reply", "cached")
