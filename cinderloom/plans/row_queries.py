@@ -267,3 +267,30 @@ def generation_cache_eval(spark, sf_dir):
         cache.replies(some, "text", first_words, key, "turn")
     cache.compact(key)
     return cache.replies(turns, "text", first_words, key, "turn").select("conv_id", "turn", "reply", "cached")
+
+
+# Plug-ins: metrics and sample contexts.
+
+
+@query("""WITH RECURSIVE p AS (SELECT idx % 4 AS g, pred, "true", round(conf, 9) AS score, pred = "true" AS positive FROM v_pred ), n AS (SELECT g, count(*) AS n, count(*) FILTER (positive) AS hits FROM p GROUP BY 1),
+t AS (SELECT g, "true" AS k, count(*) AS t FROM p GROUP BY 1, 2), q AS (SELECT g, pred AS k, count(*) AS q FROM p GROUP BY 1, 2),
+m AS (SELECT n.g, n.n::DOUBLE AS n, hits::DOUBLE AS hits, (SELECT sum(t * q)::DOUBLE FROM t JOIN q ON t.g = q.g AND t.k = q.k WHERE t.g = n.g) AS chance, (SELECT sum(t * t)::DOUBLE FROM t WHERE t.g = n.g) AS tt, (SELECT sum(q * q)::DOUBLE FROM q WHERE q.g = n.g) AS qq FROM n),
+r AS (SELECT g, positive, rank() OVER (PARTITION BY g ORDER BY score) + (count(*) OVER (PARTITION BY g, score) - 1) / 2.0::DOUBLE AS r FROM p)
+SELECT g, 'kappa' AS metric, round((n * hits - chance) / (n * n - chance), 6) AS value FROM m UNION ALL SELECT g, 'matthews', round((n * hits - chance) / sqrt((n * n - tt) * (n * n - qq)), 6) FROM m
+UNION ALL SELECT g, 'auroc', round((sum(r) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2.0::DOUBLE) / (count(*) FILTER (positive) * count(*) FILTER (NOT positive)), 6) FROM r GROUP BY g""")
+def metric_plugins(spark, sf_dir):
+    from cinderloom.operators import metrics
+
+    rows = v.predictions(spark, sf_dir).select((F.col("idx") % 4).alias("g"), "pred", "true", F.round("conf", 9).alias("score"), (F.col("pred") == F.col("true")).alias("positive"))
+    return metrics.evaluated(rows, ["kappa", "matthews", "auroc"], "g").select("g", "metric", *r6("value"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT idx, idx % 7 AS run, pred, "true", round(conf, 9) AS conf, round(entropy, 9) AS entropy FROM v_pred ), f AS (SELECT *, row_number() OVER (PARTITION BY run, "true" ORDER BY idx) AS n FROM p)
+SELECT run, 'few_shot_samples' AS collection, CAST(row_number() OVER (PARTITION BY run ORDER BY "true", n) AS INTEGER) AS place, idx FROM f WHERE n <= 2
+UNION ALL SELECT run, 'high_entropy_samples', CAST(n AS INTEGER), idx FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY entropy DESC, idx) AS n FROM p) e WHERE n <= 5
+UNION ALL SELECT run, 'hard_negative_samples', CAST(n AS INTEGER), idx FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY conf DESC, idx) AS n FROM p WHERE pred <> "true") h WHERE n <= 5""")
+def sample_contexts(spark, sf_dir):
+    from cinderloom.operators import contexts
+
+    rows = v.predictions(spark, sf_dir).select("idx", (F.col("idx") % 7).alias("run"), "pred", "true", F.round("conf", 9).alias("conf"), F.round("entropy", 9).alias("entropy"))
+    return contexts.contexts(contexts.candidates(rows)).select("run", "collection", "place", "idx")
