@@ -294,3 +294,37 @@ def sample_contexts(spark, sf_dir):
 
     rows = v.predictions(spark, sf_dir).select("idx", (F.col("idx") % 7).alias("run"), "pred", "true", F.round("conf", 9).alias("conf"), F.round("entropy", 9).alias("entropy"))
     return contexts.contexts(contexts.candidates(rows)).select("run", "collection", "place", "idx")
+
+
+# Nested documents.
+
+
+@query("""SELECT c.click_id, j.fullkey AS path, CASE WHEN j.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN j.type = 'VARCHAR' THEN 'string' ELSE lower(j.type) END AS kind, CAST(j.value AS VARCHAR) AS value
+FROM (SELECT click_id, props FROM clicks WHERE json_valid(props)) c, json_tree(c.props) j WHERE j.type NOT IN ('OBJECT', 'ARRAY') OR CAST(j.value AS VARCHAR) IN ('{}', '[]')""")
+def json_paths(spark, sf_dir):
+    from cinderloom.operators import documents
+
+    return documents.flattened(v.table(spark, sf_dir, "clicks"), ["click_id"], "props")
+
+
+_RUN_CONFIG = "'{{\"name\": \"' || run_id || '\", \"trainer\": {{\"splits\": [' || CAST(run_id % 2 AS {t}) || '], \"rate\": 0.5}}, \"seed\": ' || CAST(seed AS {t}) || '}}'"
+
+
+@query("""WITH RECURSIVE c AS (SELECT dataset, subset, seed, budget, run_id, 'n' || run_id % 3 AS experiment, policy, CASE WHEN run_id % 7 = 0 THEN '' ELSE 'space' || seed END AS action_space, run_id % 4 AS n, run_id % 2 AS cfg FROM v_cells WHERE policy IN ('2-HIGH', '5-LOW')),
+s AS (SELECT dataset, subset, seed, budget, run_id, 'space' || seed AS action_space, run_id % 4 AS n, run_id % 2 AS cfg FROM v_cells WHERE policy = '1-URGENT'), p AS (SELECT dataset, subset, seed, budget, 'n' || run_id % 3 AS name, '2-HIGH' AS policy FROM s WHERE run_id % 5 <> 0)
+SELECT c.dataset, c.subset, c.seed, c.budget, c.run_id, x.problem FROM c LEFT JOIN p USING (dataset, subset, seed, budget) LEFT JOIN s USING (dataset, subset, seed, budget),
+  LATERAL (SELECT 'unplanned' AS problem WHERE p.name IS NULL UNION ALL SELECT 'name_mismatch' WHERE p.name <> c.experiment UNION ALL SELECT 'policy_mismatch' WHERE p.policy <> c.policy UNION ALL SELECT 'count_mismatch' WHERE s.n <> c.n
+    UNION ALL SELECT 'action_space_mismatch' WHERE s.run_id IS NOT NULL AND (c.action_space = '' OR c.action_space <> s.action_space) UNION ALL SELECT 'config_mismatch' WHERE s.cfg <> c.cfg) x
+UNION ALL SELECT dataset, subset, seed, budget, min(run_id), 'duplicate_control' FROM c GROUP BY 1, 2, 3, 4 HAVING count(*) > 1
+UNION ALL SELECT dataset, subset, seed, budget, NULL, 'missing' FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.dataset = p.dataset AND c.subset = p.subset AND c.seed = p.seed AND c.budget = p.budget)""")
+def same_count_reconciliation(spark, sf_dir):
+    from cinderloom.plans import same_count
+
+    keys = ["dataset", "subset", "seed", "budget"]
+    cells = v.cells(spark, sf_dir).withColumn("experiment", F.concat(F.lit("n"), (F.col("run_id") % 3).cast("string"))).withColumn("synthetic_count", F.col("run_id") % 4).withColumn("config", F.expr(_RUN_CONFIG.format(t="STRING")))
+    space = F.concat(F.lit("space"), F.col("seed").cast("string"))
+    columns = [*keys, "run_id", "experiment", "policy", "action_space", "synthetic_count", "config"]
+    controls = cells.where("policy in ('2-HIGH', '5-LOW')").withColumn("action_space", F.when(F.col("run_id") % 7 == 0, "").otherwise(space)).select(*columns)
+    sources = cells.where("policy = '1-URGENT'").withColumn("action_space", space).select(*columns)
+    planned = sources.where("run_id % 5 <> 0").select(*keys, F.col("experiment").alias("control_name"), F.lit("2-HIGH").alias("control_policy"), F.col("synthetic_count").alias("synthetic_record_budget"))
+    return same_count.reconcile_runs(planned, controls, sources, keys, volatile=["name"]).select(*keys, "run_id", "problem")
