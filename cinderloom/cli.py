@@ -1,4 +1,4 @@
-"""Commands: analyze, certificates, provenance, gate, policy-smoke and query."""
+"""Commands: analyze, certificates, provenance, gate, pilot-gate, fixed-scorer-gate, plan-same-count-controls, policy-smoke and query."""
 
 from __future__ import annotations
 
@@ -74,6 +74,48 @@ def gate(args) -> int:
     return int(not all(r.passed for r in report))
 
 
+def _told(report) -> int:
+    """Print a gate's checks; exit 1 if one fails."""
+    rows = report.collect()
+    print(json.dumps({"passed": all(r.passed for r in rows), "checks": [r.asDict() for r in rows]}, indent=2))
+    return int(not all(r.passed for r in rows))
+
+
+def _list(text: str | None) -> list[str]:
+    return [x.strip() for x in (text or "").split(",") if x.strip()]
+
+
+def _required(args, *names: str) -> set[str]:
+    return {n for n in names if getattr(args, f"require_{n}")}
+
+
+def pilot_gate(args) -> int:
+    """All checks of a pilot's run folders."""
+    from cinderloom.plans import gate_inputs
+
+    rate = {m: getattr(args, f"min_{m}_win_rate") for m in ("auc", "heldout", "final")}
+    required = _required(args, "teacher_attempts", "frontier", "heldout", "labels", "paper_mode", "provider_usage", "same_count", "plan")
+    return _told(gate_inputs.pilot_gate(
+        session(), *args.paths, metric=args.metric, mode=args.mode, policies=_list(args.policies), seeds=_list(args.seeds), budgets=_list(args.budgets), required=required, source_policy=args.source_policy, plan_path=args.plan,
+        control_policy=args.control_policy, success_policy=args.success_policy, baselines=_list(args.baselines), min_win_rate={m: r for m, r in rate.items() if r is not None},
+    ))
+
+
+def fixed_scorer_gate(args) -> int:
+    """All checks of the fixed-scorer control runs."""
+    from cinderloom.plans import gate_inputs
+
+    return _told(gate_inputs.fixed_scorer_gate(session(), *args.paths, controls=_list(args.controls), seeds=_list(args.seeds), budgets=_list(args.budgets), metric=args.metric, mode=args.mode, required=_required(args, "heldout", "paper_mode", "provider_usage")))
+
+
+def plan_controls(args) -> int:
+    from cinderloom.plans import gate_inputs
+
+    made = gate_inputs.plan_same_count(session(), *args.paths, output=args.output, source_policy=args.source_policy, control_policies=_list(args.control_policies), metric=args.metric, mode=args.mode, base_output_dir=args.base_output_dir)
+    print(f"{len(made)} control configurations in {args.output}")
+    return int(not made)
+
+
 def policy_smoke(args) -> int:
     """One choice of a policy on a fixed state."""
     from cinderloom.operators import policy
@@ -103,6 +145,34 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name)
         c.add_argument("paths", nargs="+")
         c.set_defaults(run=f)
+    def add_gate(name: str, f, on: tuple[str, ...], off: tuple[str, ...]):
+        g = sub.add_parser(name)
+        g.add_argument("paths", nargs="+")
+        g.add_argument("--metric")
+        g.add_argument("--mode", default="auto", choices=["auto", "min", "max"])
+        for what in ("seeds", "budgets"):
+            g.add_argument(f"--{what}", help="expected values, with commas between them")
+        for what in (*on, *off):
+            g.add_argument(f"--require-{what.replace('_', '-')}", action=argparse.BooleanOptionalAction, default=what in on)
+        g.set_defaults(run=f)
+        return g
+
+    g = add_gate("pilot-gate", pilot_gate, ("teacher_attempts", "frontier"), ("heldout", "labels", "paper_mode", "provider_usage", "same_count", "plan"))
+    for what in ("policies", "plan", "source-policy", "control-policy", "success-policy", "baselines"):
+        g.add_argument(f"--{what}")
+    for m in ("auc", "heldout", "final"):
+        g.add_argument(f"--min-{m}-win-rate", type=float)
+    g = add_gate("fixed-scorer-gate", fixed_scorer_gate, ("heldout", "paper_mode", "provider_usage"), ())
+    g.add_argument("--controls", required=True)
+    c = sub.add_parser("plan-same-count-controls")
+    c.add_argument("paths", nargs="+")
+    c.add_argument("--metric")
+    c.add_argument("--mode", default="auto", choices=["auto", "min", "max"])
+    c.add_argument("--output", required=True)
+    c.add_argument("--source-policy", required=True)
+    c.add_argument("--control-policies", required=True, help="in order of preference where they tie")
+    c.add_argument("--base-output-dir")
+    c.set_defaults(run=plan_controls)
     o = sub.add_parser("provenance")
     o.add_argument("paths", nargs="+")
     o.add_argument("--data", nargs="*", help="folders of data files and their manifests, if not below the runs")

@@ -49,7 +49,7 @@ def reconcile_runs(planned: DataFrame, controls: DataFrame, sources: DataFrame,
     blank = F.coalesce("action_space", F.lit("")) == ""
     checks = {
         "unplanned": (F.col("p_there").isNull(), F.lit(None).cast("string"), F.col("experiment")),
-        "name_mismatch": (~F.array_contains("p_names", F.col("experiment")), F.array_join(F.array_sort("p_names"), ","), F.col("experiment")),
+        "name_mismatch": ((F.size("p_names") > 0) & ~F.array_contains("p_names", F.col("experiment")), F.array_join(F.array_sort("p_names"), ","), F.col("experiment")),
         "policy_mismatch": ((F.size("p_policies") > 0) & ~F.array_contains("p_policies", F.col("policy")), F.array_join(F.array_sort("p_policies"), ","), F.col("policy")),
         "count_mismatch": (known & ~F.col("synthetic_count").eqNullSafe(F.col("s_synthetic_count")), F.col("s_synthetic_count").cast("string"), F.col("synthetic_count").cast("string")),
         "action_space_mismatch": (known & (blank | ~F.col("action_space").eqNullSafe(F.col("s_action_space"))), F.col("s_action_space"), F.col("action_space")),
