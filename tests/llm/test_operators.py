@@ -486,8 +486,7 @@ def brute_removed(texts):
             # Lines that share less than two fifths of their words are taken as unlike.
             if n < 0.4 * max(len(words[a]), len(words[b])) or abs(len(a) - len(b)) > 0.2 * longer:
                 continue
-            x, y = (a, b) if longer <= line_dedup.LONG else (a.split(), b.split())
-            if 1 - edit(x, y) / max(len(x), len(y)) >= line_dedup.SIMILAR:
+            if 1 - edit(a, b) / longer >= line_dedup.SIMILAR:
                 parent[root(a)] = root(b)
     first, removed = {}, {}
     for i, t in sorted(texts.items()):
@@ -555,6 +554,28 @@ def test_line_dedup_finds_changed_words(spark):
     assert got <= alike and len(alike) >= 70 and len(got) >= 0.98 * len(alike)
 
 
+def test_line_dedup_finds_changed_letters(spark):
+    """Kinds of pairs that share few whole words; each kind is found in nine of ten at least."""
+    rng = random.Random(17)
+    letters, han = "abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(0x4E00, 0x5A00)]
+    word = lambda n=None: "".join(rng.choices(letters, k=n or rng.randint(4, 9)))
+
+    def changed(text, n, alphabet=letters):
+        at = rng.sample([i for i, c in enumerate(text) if c != " "], n)
+        return "".join(rng.choice(alphabet) if i in at else c for i, c in enumerate(text))
+
+    kinds = {
+        "one word": lambda: (t := word(14), changed(t, 1)), "two words": lambda: (t := f"{word(7)} {word(7)}", changed(t, 1)), "six words": lambda: (t := " ".join(word(6) for _ in range(6)), changed(t, 2)),
+        "ten words": lambda: (t := " ".join(word() for _ in range(10)), changed(t, 2)), "no spaces, replaced": lambda: (t := "".join(rng.choices(han, k=60)), changed(t, 3, han)),
+        "no spaces, inserted": lambda: (t := "".join(rng.choices(han, k=60)), t[:20] + han[7] + t[20:]),
+    }
+    pairs = [(kind, *make()) for kind, make in kinds.items() for _ in range(40)]
+    told = {r.doc_id for r in line_dedup.decisions(documents(spark, [t for _, *two in pairs for t in two])).collect() if r.removed}
+    found = Counter(kind for i, (kind, _, _) in enumerate(pairs) if 2 * i + 1 in told)
+    assert all(found[kind] >= 36 for kind in kinds), found
+    assert not any(2 * i in told for i in range(len(pairs)))
+
+
 def test_line_dedup_of_repeated_documents(spark):
     line = " ".join(f"term{i * 7919 % 1000}" for i in range(20))
     rows = [(1, line)] * 600 + [(2, line.replace("term919", "other")), (2, line.replace("term919", "other")), (3, "a line of its own"), (4, None), (4, None), (5, " \n"), (6, ""), (None, line)]
@@ -566,7 +587,7 @@ def test_line_dedup_of_repeated_documents(spark):
 
 def test_line_dedup_bears_long_texts_and_ids_of_any_kind(spark):
     rng = random.Random(3)
-    many = " ".join(f"w{rng.randrange(5000)}" for _ in range(4000))  # beyond LONG, so words are compared
+    many = " ".join(f"w{rng.randrange(5000)}" for _ in range(4000))
     token = "".join(rng.choices("0123456789abcdef", k=30_000))
     rows = [("a", many), ("b", many.replace("w7 ", "other ")), ("c", token), ("d", token[:-1]), ("e", "\n".join(["same line of five words"] * 3000)), ("f", "y z")]
     told = {r.doc_id: len(r.removed) for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
