@@ -96,10 +96,10 @@ def budget_audit(runs: DataFrame, attempts: DataFrame, keys: list[str]) -> DataF
 
 
 def budget_stop(attempts: DataFrame, budget: Column, run: str = "run_id") -> DataFrame:
-    """First attempt of each run at which the running ledger reaches the budget (null if it never does)."""
+    """First attempt of each run at which the running ledger reaches the budget (null if it never does). A total that equals the budget but for the rounding of its additions reaches it."""
     w = Window.partitionBy(run).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     spent = attempts.withColumn("spent", F.sum(F.coalesce("ledger", F.lit(0.0))).over(w))
-    return spent.groupBy(run).agg(F.min(F.when(F.col("spent") >= budget, F.col("ord"))).alias("stop_at"), F.max("spent").alias("spent"))
+    return spent.groupBy(run).agg(F.min(F.when(F.col("spent") >= budget - EPSILON, F.col("ord"))).alias("stop_at"), F.max("spent").alias("spent"))
 
 
 def prefix_within_budget(rows: DataFrame, run: str, order: str, cost: str, budget: Column) -> DataFrame:

@@ -75,3 +75,11 @@ def test_a_silent_run_is_closed_and_its_state_goes(spark, tmp_path):
     last = {r["run_id"]: r for r in updates.latest().collect()}
     assert last[1]["closed"] and last[1]["spent"] == 60.0 and last[1]["stop_at"] is None
     assert not last[2]["closed"]
+
+
+TENTHS = [(run, 20 * run + i, i, 0.1, DAY + dt.timedelta(minutes=i)) for run in range(3) for i in range(12)]
+
+
+def test_a_total_that_equals_the_budget_reaches_it(spark):
+    # Ten tenths add up to less than 1 in doubles, whatever the order of rows.
+    assert batch_rule(spark, TENTHS, 1.0) == {run: (9, 1.2) for run in range(3)}
