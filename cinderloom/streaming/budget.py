@@ -2,6 +2,7 @@
 
 The reference has no streams; this gives its batch rule (the first attempt, in log order, at which
 the running total reaches the budget) over a log that arrives in any order and more than once.
+As there, a total that equals the budget but for the rounding of its additions reaches it.
 
 State of a run: the total, the attempts' ids (an attempt that comes again, in this batch or after a
 restart, is charged once), and, in log order, the charges up to the stop. Nothing behind the stop
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from cinderloom.operators.ledger import EPSILON
 from cinderloom.sources.staging import new_folder
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,7 +38,7 @@ class BudgetLedger(StatefulProcessor):
     """One run's ledger. Input rows: run_id, attempt_id, ord, tokens (null counts 0), ts; none of the others is null but run_id."""
 
     def __init__(self, budget: float, idle_ms: int = IDLE):
-        self.budget, self.idle_ms = float(budget), int(idle_ms)
+        self.reach, self.idle_ms = float(budget) - EPSILON, int(idle_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -61,7 +63,7 @@ class BudgetLedger(StatefulProcessor):
             if stop is None or r.ord <= stop:
                 self.open.updateValue((r.ord, r.attempt_id), (tokens,))
                 before += tokens
-                if before >= self.budget:
+                if before >= self.reach:
                     stop, before = self._settle(before)
         if not moved:
             return
@@ -80,7 +82,7 @@ class BudgetLedger(StatefulProcessor):
                 self.open.removeKey((place, attempt))
                 continue
             total += tokens
-            if stop is None and total >= self.budget:
+            if stop is None and total >= self.reach:
                 stop = place
         return (stop, total) if stop is not None else (charges[-1][0], total)
 

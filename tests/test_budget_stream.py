@@ -83,3 +83,11 @@ TENTHS = [(run, 20 * run + i, i, 0.1, DAY + dt.timedelta(minutes=i)) for run in
 def test_a_total_that_equals_the_budget_reaches_it(spark):
     # Ten tenths add up to less than 1 in doubles, whatever the order of rows.
     assert batch_rule(spark, TENTHS, 1.0) == {run: (9, 1.2) for run in range(3)}
+
+
+def test_the_stream_reaches_such_a_budget_too(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    spark.createDataFrame(TENTHS, SCHEMA).coalesce(1).write.parquet(folder)
+    updates = budget.Updates(spark)
+    updates.run(budget.budget_stops(source(spark, folder), 1.0))
+    assert told(updates) == {run: (9, 1.2) for run in range(3)}
