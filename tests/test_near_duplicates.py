@@ -66,6 +66,37 @@ def test_copies_settle_each_other_without_pairs(spark):
     assert (rate["n_near"], rate["n_rows"]) == (799, 800)
 
 
+def test_whole_sets_of_copies_do_not_travel(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(i, words) for i in range(50)], "id bigint, text string")
+    every = text_audit._sets(rows, rows.limit(0), "id", "text")
+    classes = text_audit._classes(every)
+    assert "s" not in classes.columns
+    assert classes.select(F.size("pre").alias("p")).first()["p"] == 36 - 31 + 1
+    assert text_audit._prefixes(every, classes, 0.85).count() == 6
+
+
+@pytest.mark.parametrize(("threshold", "seed"), [(0.85, 5), (0.5, 6)])
+def test_pairs_equal_all_pairs(spark, threshold, seed):
+    rng = random.Random(seed)
+    texts = made(rng, 260, " ".join(f"b{i}" for i in range(60)))
+    texts += [texts[3]] * 40  # copies, so that their shingles' classes stay few
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    synthetic, seeds = rows[:220], rows[220:]
+    frame = lambda r: spark.createDataFrame(r, "id bigint, text string")
+    got = text_audit.near_duplicate_pairs(frame(synthetic), frame(seeds), "id", "text", threshold).collect()
+    sets = {i: shingled(t) for i, t in rows}
+    late = {i for i, _ in synthetic}
+    want = {}
+    for a in late:
+        for b in sets:
+            union = sets[a] | sets[b]
+            if sets[a] and (b not in late or b < a) and len(sets[a] & sets[b]) / len(union) >= threshold:
+                want[a, b] = len(sets[a] & sets[b]) / len(union)
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["similarity"] for r in got} == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id bigint, text string")
     rate = text_audit.near_duplicate_rate(none, none, "id", "text").first()
