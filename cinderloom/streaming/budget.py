@@ -5,22 +5,27 @@ the running total reaches the budget) over a log that arrives in any order and m
 As there, a total that equals the budget but for the rounding of its additions reaches it.
 
 State of a run: the total, the attempts' ids (an attempt that comes again, in this batch or after a
-restart, is charged once), and, in log order, the charges up to the stop. Nothing behind the stop
+restart, is charged once), and the charges up to the stop. Nothing behind the stop
 can move it, so that part of the log is let go; an attempt that comes late and stands before the stop
 moves it forward. A timer closes a run that has been silent for ``idle`` of event time: its state
 goes, and what comes for it still later starts anew, so ``idle`` has to exceed the log's disorder.
 
+Each access to the state is a message to the JVM, so rows are taken in blocks, and ids and charges
+are kept by the thousand: up to ``PAGE`` of either stand in the run's one value, more ids in pages by
+their hash (twice as many pages when they are full), more charges in pages in order of arrival.
+
 A row without an id, a place or a time is no attempt and is left out; a null run is a run.
 
-Updates leave per batch and run. A batch's rows of one run are taken in order of arrival, one at a
-time; a hot run's state is one task's, as is its log in the rule itself, but rows before the
+Updates leave per batch and run. A batch's rows of one run are taken in order of arrival; a hot run's state is one task's, as is its log in the rule itself, but rows before the
 shuffle are narrow and a trigger's size is bounded by the source's options.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -34,6 +39,30 @@ OUTPUT = "run_id bigint, spent double, attempts bigint, last_ord bigint, stop_at
 IDLE = 7 * 24 * 3600 * 1000
 
 
+#: Rows of a run that are taken at once; ids or charges that stand in its value or, on average, in a page.
+BLOCK, PAGE = 1 << 16, 1 << 11
+TOTAL = "spent double, attempts bigint, last_ord bigint, stop_at bigint, before double, latest bigint, due bigint, ids binary, id_pages bigint, charges binary, charge_pages bigint"
+
+
+def _page_of(ids: np.ndarray, pages: int) -> np.ndarray:
+    """The pages, a power of two of them, in which ids stand."""
+    mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) & np.uint64(pages - 1)).astype(np.int64)
+
+
+def _ids(page: bytes) -> np.ndarray:
+    return np.frombuffer(page, np.int64)
+
+
+def _charges(page: bytes) -> np.ndarray:
+    """Place, attempt and tokens (the bits of a double) of a row each."""
+    return np.frombuffer(page, np.int64).reshape(-1, 3)
+
+
+def _tokens(charges: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(charges[:, 2]).view(np.float64)
+
+
 class BudgetLedger(StatefulProcessor):
     """One run's ledger. Input rows: run_id, attempt_id, ord, tokens (null counts 0), ts; none of the others is null but run_id."""
 
@@ -42,57 +71,103 @@ class BudgetLedger(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", "spent double, attempts bigint, last_ord bigint, stop_at bigint, before double, latest bigint")
-        self.seen = handle.getMapState("seen", "attempt_id bigint", "one boolean")
-        # Charges up to the stop, by log place and attempt; all of them while there is no stop.
-        self.open = handle.getMapState("open", "ord bigint, attempt_id bigint", "tokens double")
+        self.total = handle.getValueState("total", TOTAL)
+        self.seen = handle.getMapState("seen", "page bigint", "ids binary")
+        # Charges up to the stop, in no order; all of them while there is no stop.
+        self.open = handle.getMapState("open", "page bigint", "charges binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # before: the sum of the charges kept in ``open``.
-        spent, attempts, last, stop, before, latest = self.total.get() if self.total.exists() else (0.0, 0, None, None, 0.0, None)
-        moved = 0
-        for r in rows:
-            if self.seen.containsKey((r.attempt_id,)):
+        # before: the sum of the charges kept.
+        spent, attempts, last, stop, before, latest, due, ids, id_pages, charges, charge_pages = self.total.get() or (0.0, 0, None, None, 0.0, None, None, b"", 0, b"", 0)
+        old = attempts
+        while block := list(islice(rows, BLOCK)):
+            _, told, places, tokens, times = zip(*block)
+            told = np.array(told, np.int64)
+            fresh, ids, id_pages = self._fresh(told, ids, id_pages, attempts)
+            if not len(fresh):
                 continue
-            self.seen.updateValue((r.attempt_id,), (True,))
-            tokens = float(r.tokens or 0.0)
-            spent, attempts, moved = spent + tokens, attempts + 1, moved + 1
-            last = r.ord if last is None else max(last, r.ord)
-            at = int(r.ts.timestamp() * 1000)
+            at = int(max(times[i] for i in fresh).timestamp() * 1000)
             latest = at if latest is None else max(latest, at)
-            if stop is None or r.ord <= stop:
-                self.open.updateValue((r.ord, r.attempt_id), (tokens,))
-                before += tokens
+            places, tokens = np.array(places, np.int64)[fresh], np.array([t or 0.0 for t in tokens], np.float64)[fresh]
+            spent, attempts = spent + float(tokens.sum()), attempts + len(fresh)
+            last = int(places.max()) if last is None else max(last, int(places.max()))
+            kept = np.stack([places, told[fresh], tokens.view(np.int64)], axis=1)
+            kept = kept if stop is None else kept[places <= stop]
+            if len(kept):
+                before, charges = before + float(_tokens(kept).sum()), charges + kept.tobytes()
                 if before >= self.reach:
-                    stop, before = self._settle(before)
-        if not moved:
+                    stop, before, charges, charge_pages = self._settle(charges, charge_pages)
+                elif len(charges) > 24 * PAGE:
+                    self.open.updateValue((charge_pages,), (charges,))
+                    charges, charge_pages = b"", charge_pages + 1
+        if attempts == old:
             return
-        self.total.update((spent, attempts, last, stop, before, latest))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(latest + self.idle_ms)
+        if due != latest + self.idle_ms:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = latest + self.idle_ms
+            self.handle.registerTimer(due)
+        self.total.update((spent, attempts, last, stop, before, latest, due, ids, id_pages, charges, charge_pages))
         yield Row(run_id=key[0], spent=spent, attempts=attempts, last_ord=last, stop_at=stop, closed=False)
 
-    def _settle(self, before: float) -> tuple[int, float]:
-        """The place at which the kept charges reach the budget; those behind it go."""
-        charges = sorted((k[0], k[1], v[0]) for k, v in self.open.iterator())
-        total, stop = 0.0, None
-        for place, attempt, tokens in charges:
-            if stop is not None and place > stop:
-                self.open.removeKey((place, attempt))
-                continue
-            total += tokens
-            if stop is None and total >= self.reach:
-                stop = place
-        return (stop, total) if stop is not None else (charges[-1][0], total)
+    def _fresh(self, told: np.ndarray, ids: bytes, pages: int, attempts: int) -> tuple[np.ndarray, bytes, int]:
+        """Where ids stand in ``told`` that were not seen before, in order, with the run's ids and pages with them."""
+        first = np.sort(np.unique(told, return_index=True)[1])
+        fresh = first[~np.isin(told[first], _ids(ids))] if ids else first
+        if pages:
+            place = _page_of(told[fresh], pages)
+            new = np.ones(len(fresh), bool)
+            for page in np.unique(place).tolist():
+                held = self.seen.getValue((page,))
+                here = place == page
+                new[here] = held is None or ~np.isin(told[fresh][here], _ids(held[0]))
+            fresh = fresh[new]
+        ids += told[fresh].tobytes()
+        if len(ids) <= 8 * PAGE:
+            return fresh, ids, pages
+        pages = pages or 1
+        while attempts + len(fresh) > pages * PAGE:
+            for page in range(pages):
+                held = self.seen.getValue((page,))
+                if held is not None:
+                    self.seen.removeKey((page,))
+                    self._deal(_ids(held[0]), 2 * pages)
+            pages *= 2
+        self._deal(_ids(ids), pages)
+        return fresh, b"", pages
+
+    def _deal(self, ids: np.ndarray, pages: int) -> None:
+        """Ids join their pages."""
+        place = _page_of(ids, pages)
+        for page in np.unique(place).tolist():
+            held = self.seen.getValue((page,))
+            self.seen.updateValue((page,), ((held[0] if held else b"") + ids[place == page].tobytes(),))
+
+    def _settle(self, charges: bytes, pages: int) -> tuple[int, float, bytes, int]:
+        """The place at which the kept charges reach the budget, and the sum of those that stay; those behind it go."""
+        rows = _charges(b"".join([*[self.open.getValue((page,))[0] for page in range(pages)], charges]))
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        running = np.add.accumulate(_tokens(rows))
+        reached = np.flatnonzero(running >= self.reach)
+        stop = int(rows[reached[0] if len(reached) else -1, 0])
+        kept = int(np.searchsorted(rows[:, 0], stop, "right"))
+        if pages:
+            self.open.clear()
+        full = 0 if kept <= PAGE else -(-kept // PAGE)
+        for page in range(full):
+            self.open.updateValue((page,), (rows[page * PAGE : min(kept, (page + 1) * PAGE)].tobytes(),))
+        return stop, float(running[kept - 1]), b"" if full else rows[:kept].tobytes(), full
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.total.exists():
+        held = self.total.get()
+        if held is None:
             return
-        spent, attempts, last, stop, _, _ = self.total.get()
+        spent, attempts, last, stop, _, _, _, _, id_pages, _, charge_pages = held
         self.total.clear()
-        self.seen.clear()
-        self.open.clear()
+        if id_pages:
+            self.seen.clear()
+        if charge_pages:
+            self.open.clear()
         yield Row(run_id=key[0], spent=spent, attempts=attempts, last_ord=last, stop_at=stop, closed=True)
 
     def close(self) -> None:
